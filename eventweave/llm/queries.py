@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import decontaminate_query
+from .mixing import mixing_query
+from .ngram_jaccard import jaccard_query
+from .pii import pii_query
 from .toxicity import toxicity_query
 
 QUERIES = {
+    "op3_mixing": mixing_query,
+    "op7_pii": pii_query,
+    "op8_ngram_jaccard": jaccard_query,
     "op9_toxicity": toxicity_query,
+    "op10_decontamination": decontaminate_query,
 }
 
 ORACLES: dict[str, str] = {}
