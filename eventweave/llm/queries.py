@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+
 from .decontaminate import decontaminate_query
+from .embedding_dedup import embedding_query
+from .html_text import html_query
+from .language_id import language_query
+from .lm_score import lm_query
 from .mixing import mixing_query
 from .ngram_jaccard import jaccard_query
 from .pii import pii_query
 from .toxicity import toxicity_query
+from .url_filter import url_query
 
 QUERIES = {
+    "op1_lm_score": lm_query,
+    "op2_html_text": html_query,
     "op3_mixing": mixing_query,
+    "op4_url_filter": url_query,
+    "op5_language_id": language_query,
+    "op6_embedding_dedup": embedding_query,
     "op7_pii": pii_query,
     "op8_ngram_jaccard": jaccard_query,
     "op9_toxicity": toxicity_query,
     "op10_decontamination": decontaminate_query,
+    "pipeline": run,
 }
 
 ORACLES: dict[str, str] = {}
