@@ -96,7 +96,8 @@ def fit_on(labelled: DataFrame) -> np.ndarray:
 
 
 def judge_urls(pages: DataFrame, weights: np.ndarray, rules=RULES, cut: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, score for every row of pages(page_id, url); score is the classifier's probability of unwanted."""
+    """page_id, host, path, rule, verdict, score for every row of pages(page_id, url); score is the classifier's probability of unwanted
+    (0 where host and path are empty)."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
 
@@ -104,6 +105,9 @@ def judge_urls(pages: DataFrame, weights: np.ndarray, rules=RULES, cut: float =
         for b in batches:
             score = []
             for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
+                if not h and not p:  # nothing to judge: allowed
+                    score.append(0.0)
+                    continue
                 x = features(h, p)
                 z = (weights[x].sum() + weights[-1]) / math.sqrt(len(x) + 1)
                 score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
