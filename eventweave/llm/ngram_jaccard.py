@@ -12,6 +12,10 @@ Candidates are verified in two rounds, so that a group of near copies never turn
 compares each document with the smallest document of each of its prefix tokens. Round two takes the pairs that share a
 prefix token and are not yet in one component; that loses no link between components, and links inside a component
 change no result. No candidate is capped.
+
+Two lossless bounds thin the candidates before any set is moved. Position: at the first common token, both sets' rests must
+still hold the overlap needed. Parity: each set has BITS bits, each the parity of its tokens of one hash class; sets
+that differ in d tokens differ in at most d bits, and linked sets in at most (n + m) / 9 tokens.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ LOW = 0.35
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _ORDERS = [np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 _HIGH = 1 << 62
+#: Bits of a set's parity signature, as longs p0, p1, ...
+BITS = 256
+_PARITY = [f"p{i}" for i in range(BITS // 64)]
 
 
 def prefix_length(n):
@@ -63,7 +70,7 @@ def _digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, salt = np.uint64(int(LOW * 2**64)), np.uint64(0x9FB21C651E98DF25)
         for batch in batches:
-            n, d1, d2, tokens = [], [], [], []
+            n, d1, d2, tokens, parity = [], [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 k = len(s)
                 low = int(np.searchsorted(s, cut))
@@ -71,12 +78,16 @@ def _digests(docs: DataFrame) -> DataFrame:
                 d1.append(mix(s * salt).sum().astype(np.int64))
                 d2.append(mix(s ^ salt).sum().astype(np.int64))
                 tokens.append(s[: max(low, prefix_length(k) if k else 0)].tobytes())
+                bits = np.bincount((s >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            signs = np.stack(parity).T if parity else np.zeros((len(_PARITY), 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(tokens, pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "tokens"],
+                [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, d1, d2)], pa.array(tokens, pa.binary()), *[pa.array(np.ascontiguousarray(x)) for x in signs]],
+                names=["doc_id", "n", "d1", "d2", "tokens", *_PARITY],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, tokens binary")
+    longs = ", ".join(f"{x} long" for x in _PARITY)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, d1 long, d2 long, tokens binary, {longs}")
 
 
 def _explode(rows: DataFrame) -> DataFrame:
@@ -101,7 +112,7 @@ def _explode(rows: DataFrame) -> DataFrame:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """token, doc, n: each set's prefix under order 1, without tokens that occur in one set only."""
+    """token, doc, n, at: each set's prefix under order 1 with the tokens' places in it, without tokens that occur in one set only."""
     rows = _explode(reps)
     cut = int(LOW * 2**64)  # tokens are unsigned; those with the top bit are negative here, and LOW < 0.5
     low = f"token >= 0 and token < {cut}"
@@ -112,7 +123,8 @@ def _postings(reps: DataFrame) -> DataFrame:
         F.count_if(F.expr(f"df = 1 and {low}")).alias("alone"), F.collect_list(F.when(F.expr(f"df > 1 or not ({low})"), order)).alias("rest")
     )
     left = F.expr("n - (4 * n + 4) div 5 + 1") - F.col("alone")
-    return per.where(left > 0).select("doc", "n", F.explode(F.slice(F.array_sort("rest"), F.lit(1), left.cast("int"))).alias("t")).select("t.token", "doc", "n")
+    rows = per.where(left > 0).select("doc", "n", "alone", F.posexplode(F.slice(F.array_sort("rest"), F.lit(1), left.cast("int"))).alias("i", "t"))
+    return rows.select("t.token", "doc", "n", (F.col("alone") + F.col("i")).alias("at"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,7 +186,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     that share a doc_id are versions of one document: what links to either is in its component. A row without doc_id
     keeps its size and has no component.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = save(_digests(docs), "jaccard-digests")
     known = digests.where("n > 0 and doc_id is not null")
@@ -182,19 +193,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = known.join(classes.select("rep").distinct(), F.col("rep") == F.col("doc_id"), "left_semi")
     postings = save(_postings(reps), "jaccard-postings")
 
-    close = "5 * least(n, m) >= 4 * greatest(n, m)"
-    first = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("token", F.col("f.doc").alias("a"), F.col("f.n").alias("m"))
+    signs = save(reps.select(F.col("doc_id").alias("doc"), "n", *_PARITY), "jaccard-signs")
+    near = "9 * (" + " + ".join(f"bit_count({x} ^ q{x})" for x in _PARITY) + ") <= n + m"
+    close = "5 * least(n, m) >= 4 * greatest(n, m) and 9 * least(n - at, m - at2) >= 4 * (n + m)"
+    first = postings.groupBy("token").agg(F.min(F.struct("doc", "n", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    first = first.select("token", F.col("f.doc").alias("a"), F.col("f.n").alias("m"), F.col("f.at").alias("at2"))
     pairs = postings.join(first, "token").where(f"doc <> a and {close}").select("a", F.col("doc").alias("b")).distinct()
-    pairs = save(pairs, "jaccard-pairs")
+    other = signs.select(F.col("doc").alias("a"), F.col("n").alias("m"), *[F.col(x).alias(f"q{x}") for x in _PARITY])
+    pairs = save(pairs.join(signs, F.col("doc") == F.col("b")).join(other, "a").where(near).select("a", "b"), "jaccard-pairs")
     links = save(_verify(pairs, _sets(docs, _ids(pairs))), "jaccard-links")
 
     comps = save(connected_components(links), "jaccard-comps")
-    tagged = postings.join(comps, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    tagged = postings.join(comps, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("comp"))
     mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = save(tagged.join(mixed, "token"), "jaccard-open")
-    other = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    more = open_.withColumnRenamed("doc", "a").join(other, "token").where(f"a < b and comp <> comp2 and {close}").select("a", "b").distinct()
+    open_ = save(tagged.join(mixed, "token").join(signs.drop("n"), "doc"), "jaccard-open")
+    other = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("comp").alias("comp2"), *[F.col(x).alias(f"q{x}") for x in _PARITY])
+    more = open_.withColumnRenamed("doc", "a").join(other, "token").where(f"a < b and comp <> comp2 and {close} and {near}").select("a", "b").distinct()
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
     late = save(_verify(more, _sets(docs, _ids(more))), "jaccard-links")
     drop_saved(open_)
@@ -203,7 +217,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = known.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     versions = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("a"))
     same = same.join(versions, "a", "left_semi")
-    final = connected_components(links.union(comps.where("node <> component").select("node", "component")).union(late).union(same))
+    final = connected_components(comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(late).union(same))
     rep = digests.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(final, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
