@@ -48,6 +48,10 @@ def stream_matches(events: DataFrame, pattern: Pattern, delay: str = "1 minute")
     def ts(name: str) -> Column:
         return F.col(f"{name}__ts")
 
+    def cell(name: str) -> Column:
+        us, width = F.col(f"{name}__us"), F.lit(max(w, 1))
+        return F.call_function("div", us - F.pmod(us, width), width)
+
     names: list[str] = []
     out: DataFrame | None = None
     for a in args:
@@ -66,15 +70,22 @@ def stream_matches(events: DataFrame, pattern: Pattern, delay: str = "1 minute")
             for n in names:
                 on += [ts(e.name) >= ts(n) - _interval(w), ts(e.name) <= ts(n) + _interval(w)]
         on += [F.col(f"{e.name}__seq") != F.col(f"{n}__seq") for n in names]
+        # Stream joins need an equality: windows of the first event's time, to which the new event is dealt as often as they can meet.
+        mine, theirs = f"_w{len(names)}", f"_v{len(names)}"
+        first, own = cell(names[0]), cell(e.name)
+        out = out.withColumn(mine, first)
+        right = right.withColumn(theirs, F.explode(F.array(own - 1, own) if ordered else F.array(own - 1, own, own + 1)))
+        on.append(F.col(mine) == F.col(theirs))
         cond = on[0]
         for x in on[1:]:
             cond = cond & x
         if negative:
             out = out.join(right, cond, "left_outer").where(F.col(f"{e.name}__seq").isNull()).drop(*right.columns)
         else:
-            out = out.join(right, cond, "inner")
+            # The first event's time stays the one event-time column; the joins that follow allow no second.
+            out = out.join(right, cond, "inner").withColumn(f"{e.name}__ts", F.timestamp_micros(f"{e.name}__us"))
             names.append(e.name)
-    return out
+    return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 
 class AdaptiveRun:
