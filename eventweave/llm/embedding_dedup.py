@@ -274,7 +274,8 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: str) -> DataFrame:
         what = np.repeat([w for w, _, _ in out], [len(p) for _, p, _ in out])
         done = pd.DataFrame({"what": what, "a": np.concatenate([p for _, p, _ in out]), "b": np.concatenate([q for _, _, q in out])})
         done = done[(done["what"] == "edge") & (done["a"] != done["b"]) | (done["what"] == "links") & (done["b"] > 0)]
-        return done.drop_duplicates() if len(out) > 2 else done
+        edges, links = done[done["what"] == "edge"].drop_duplicates(), done[done["what"] == "links"]
+        return pd.concat([edges, links.groupby(["what", "a"], as_index=False)["b"].sum()])
 
     return pairs.select("block", "block2", "tree", "tree2").mapInPandas(meet, "what string, a long, b long")
 
