@@ -151,6 +151,8 @@ def fit(toxic: list[str], ordinary: list[str], seed: int = 0) -> Model:
     seen = [[cells(t) for t in texts] for texts in (ordinary, toxic)]
     n0, n1 = Counter(c for s in seen[0] for c in s), Counter(c for s in seen[1] for c in s)
     table = {c: math.log((n1[c] + 0.5) / (len(toxic) + 1)) - math.log((n0[c] + 0.5) / (len(ordinary) + 1)) for c in n0 | n1}
+    # A window that the toxic dictionary doesn't shorten is no sign of toxicity, whatever its length says.
+    table = {c: v if c[2] < c[1] else min(v, 0.0) for c, v in table.items()}
     best = [sorted(max((table[c] for c in s), default=-4.0) for s in kind) for kind in seen]
     # The threshold with the highest F1 at the classes' true shares, in the middle of the widest range that reaches it.
     marks = sorted({*best[0], *best[1]})
