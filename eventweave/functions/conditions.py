@@ -211,13 +211,13 @@ class OrCondition(_Composite):
 
 
 class KCCondition(Condition):
-    """A condition on the elements of one Kleene closure."""
+    """A condition on the elements of the Kleene closure over exactly these events."""
 
     def __init__(self, names: Iterable[str] | str, attribute: str | Callable[[EventRef], Any], relation_op: Callable[[Any, Any], Any]) -> None:
-        own = {names} if isinstance(names, str) else set(names)
-        if len(own) != 1:
-            raise ValueError("a Kleene condition speaks of exactly one closure")
-        (self.name,) = own
+        own = [names] if isinstance(names, str) else sorted(set(names))
+        if not own:
+            raise ValueError("a Kleene condition names the events of a closure")
+        self.name = own[0] if len(own) == 1 else "kc_" + "_".join(own)
         self.attribute, self.relation_op = attribute, relation_op
 
     def names(self) -> set[str]:

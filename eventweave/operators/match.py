@@ -273,35 +273,38 @@ class Compiler:
         own = [x for i, x in enumerate(self.conditions) if i not in self.used and x.names() == {name} and isinstance(x, (KCCondition, KCCrossCondition))]
         self.used |= {i for i, x in enumerate(self.conditions) if x in own}
         child = self.compile(node.arg)
-        each = [x for x in own if isinstance(x, KCValueCondition) and x.index is None]
-        steps = [x for x in own if isinstance(x, KCIndexCondition) and x.offset in (1, -1)]
         element = isinstance(node.arg, Event)
-        if element:
-            fields = [c(name, x).alias(x) for x in ["seq", "us", *self.attributes]] if name == node.arg.name else [c(node.arg.name, x).alias(x) for x in ["seq", "us", *self.attributes]]
-        else:
-            fields = [child.arrival.alias("seq"), child.first.alias("us")]
-            for s in child.slots:
-                got = [c(s.name, x).alias(x) for x in ["seq", "us", *self.attributes]]
-                fields.append((F.struct(*got) if not s.many else F.col(f"`{s.name}`")).alias(s.name))
+        each = [x for x in own if isinstance(x, KCValueCondition) and x.index is None]
+        steps = [x for x in own if element and isinstance(x, KCIndexCondition) and x.offset in (1, -1)]
+        # The list of a closure holds single events: those of a composite argument one after the other.
+        parts = []
+        for s in child.slots:
+            one = F.struct(*[c(s.name, x).alias(x) for x in ["seq", "us", *self.attributes]]) if not s.many else None
+            parts.append(F.array(one) if one is not None else F.col(f"`{s.name}`"))
         seqs = F.array(*[s.seq for s in child.slots if not s.many])
         for s in child.slots:
             if s.many:
                 seqs = F.concat(seqs, s.seq)
-        df = child.df.select(F.struct(child.arrival.alias("o"), child.first.alias("f"), child.last.alias("l"), F.struct(*fields).alias("e"), seqs.alias("s")).alias("x"))
+        # The order in which the argument's matches come: by arrival, then by the slot of the event that completes them.
+        places = [s.seq for s in child.slots if not s.many]
+        order = F.array(child.arrival, *([F.array_position(F.array(*places), child.arrival), *places] if not element and places else []))
+        loose = self.options.compat and not element  # there only the first and the last event of the list are held to the window
+        df = child.df.select(F.struct(order.alias("o"), child.first.alias("f"), child.last.alias("l"), F.concat(*parts).alias("e"), seqs.alias("s")).alias("x"))
         for v in each:
-            df = df.where(v.element(F.col("x.e")))
+            df = df.where(F.forall("x.e", v.element))
         # An equality of neighbours on an attribute makes it the closure's key.
-        keys = [v.get(F.col("x.e")) for v in steps if _is_equality(v)]
+        keys = [v.get(F.col("x.e")[0]) for v in steps if _is_equality(v)]
         most = node.max_size or self.options.kleene_limit
-        cell = self.cell(F.col("x.l")) if self.window < 2**62 else F.lit(0)
+        dealt = self.window < 2**62 and not loose
+        cell = self.cell(F.col("x.l")) if dealt else F.lit(0)
         keyed = df.select("x", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("z")).alias("k"), cell.alias("b"))
         if self.options.part and element:
-            keyed = keyed.withColumn("k", F.struct("k", F.col(f"x.e.{self.options.part}").alias("p")))
-        before = keyed.select(F.col("x").alias("y"), F.col("k").alias("k2"), F.explode(F.array("b", F.col("b") + 1) if self.window < 2**62 else F.array("b")).alias("b2"))
+            keyed = keyed.withColumn("k", F.struct("k", F.col("x.e")[0][self.options.part].alias("p")))
+        before = keyed.select(F.col("x").alias("y"), F.col("k").alias("k2"), F.explode(F.array("b", F.col("b") + 1) if dealt else F.array("b")).alias("b2"))
         on = (F.col("k") == F.col("k2")) & (F.col("b") == F.col("b2")) & (F.col("y.o") < F.col("x.o"))
         if element:
             on = on & (F.abs(F.col("x.l") - F.col("y.f")) <= self.window)
-        else:
+        elif dealt:
             on = on & (F.greatest("x.l", "y.l") - F.least("x.f", "y.f") <= self.window)
         pairs = keyed.join(before, on, "left")
         groups = pairs.groupBy("x").agg(F.array_sort(F.collect_list("y")).alias("ys"))
@@ -313,7 +316,7 @@ class Compiler:
             """Whether a subset may be followed by y: what neighbours have to satisfy."""
             ok = F.size(sub) < most - 1
             for v in steps:
-                a, b = (v.get(F.get(sub, F.size(sub) - 1)["e"]), v.get(y["e"]))
+                a, b = (v.get(F.get(sub, F.size(sub) - 1)["e"][0]), v.get(y["e"][0]))
                 ok = ok & F.when(F.size(sub) == 0, True).otherwise(v.relation_op(a, b) if v.offset == 1 else v.relation_op(b, a))
             return ok
 
@@ -324,20 +327,23 @@ class Compiler:
         whole = groups.select("x", F.explode(subsets).alias("sub"))
         full = whole.select(F.array_append("sub", F.col("x")).alias("a")).where((F.size("a") >= node.min_size) & (F.size("a") <= most if node.max_size else F.lit(True)))
         out = full.select(
-            F.transform("a", lambda x: x["e"]).alias(name),
+            F.flatten(F.transform("a", lambda x: x["e"])).alias(name),
             F.array_min(F.transform("a", lambda x: x["f"])).alias(f"{name}__first"),
             F.array_max(F.transform("a", lambda x: x["l"])).alias(f"{name}__last"),
-            F.array_max(F.transform("a", lambda x: x["o"])).alias(f"{name}__seq"),
+            F.array_max(F.transform("a", lambda x: x["o"][0])).alias(f"{name}__seq"),
             F.flatten(F.transform("a", lambda x: x["s"])).alias(f"{name}__seqs"),
         )
         first, last = c(name, "first"), c(name, "last")
-        if self.window < 2**62 and element:
+        if loose and self.window < 2**62:
+            e = c(name)
+            out = out.where(F.abs(F.element_at(e, -1)["us"] - F.element_at(e, 1)["us"]) <= self.window)
+        elif self.window < 2**62:
             out = out.where(last - first <= self.window)
         for v in own:
             if v not in each:
                 out = out.where(v.column())
         probs = []
-        if self.has_prob and element:
+        if self.has_prob:
             probs = [F.aggregate(c(name), F.lit(1.0), lambda acc, e: acc * F.coalesce(e["prob"], F.lit(1.0)))]
         types = {s.type for s in child.slots}
         slot = Slot(name, types.pop() if len(types) == 1 else "*", c(name, "seqs"), many=True)

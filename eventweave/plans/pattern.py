@@ -46,7 +46,8 @@ class Not:
 
 @dataclass(frozen=True)
 class Kleene:
-    """min_size to max_size (None: any number of) matches of the argument. A closure of a composite argument needs a name for its list."""
+    """min_size to max_size (None: any number of) matches of the argument. The list of a
+    composite argument's closure is called kc_ and the names of its events."""
 
     arg: object
     min_size: int = 1
@@ -61,7 +62,7 @@ class Kleene:
     def list_name(self) -> str:
         if self.name:
             return self.name
-        return self.arg.name if isinstance(self.arg, Event) else "kc_" + "_".join(names_of(self.arg))
+        return self.arg.name if isinstance(self.arg, Event) else "kc_" + "_".join(sorted(names_of(self.arg)))
 
 
 def children(node) -> tuple:

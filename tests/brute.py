@@ -2,7 +2,7 @@
 
 from itertools import combinations, product
 
-from eventweave.plans.pattern import And, Event, Kleene, Not, Seq
+from eventweave.plans.pattern import And, Event, Kleene, Not, Seq, names_of
 
 
 class Match:
@@ -21,14 +21,17 @@ def evaluate(node, stream, window, checks):
         out = [Match({node.name: e}, e["us"], e["us"], e["seq"], [e["seq"]]) for e in stream if e["event_type"] == node.type]
         return [m for m in out if holds(m.bound, [])]
     if isinstance(node, Kleene):
-        inner = sorted(evaluate(node.arg, stream, window, [c for c in checks if node.list_name not in c[0]]), key=lambda m: m.arrival)
+        names = names_of(node.arg)
+        places = lambda m: [m.bound[n]["seq"] for n in names]
+        inner = evaluate(node.arg, stream, window, [c for c in checks if node.list_name not in c[0]])
+        inner.sort(key=lambda m: (m.arrival, places(m).index(m.arrival), places(m)))
         out = []
         for k in range(node.min_size, min(node.max_size or len(inner), len(inner)) + 1):
             for sub in combinations(inner, k):
                 first, last = min(m.first for m in sub), max(m.last for m in sub)
                 if last - first > window:
                     continue
-                m = Match({node.list_name: [x.bound[node.arg.name] for x in sub]}, first, last, max(x.arrival for x in sub), [s for x in sub for s in x.used])
+                m = Match({node.list_name: [x.bound[n] for x in sub for n in names]}, first, last, max(x.arrival for x in sub), [s for x in sub for s in x.used])
                 if holds(m.bound, []):
                     out.append(m)
         return out
@@ -39,7 +42,7 @@ def evaluate(node, stream, window, checks):
         if isinstance(node, Seq) and any(a.last > b.first for a, b in zip(combo, combo[1:], strict=False)):
             continue
         first, last = min(m.first for m in combo), max(m.last for m in combo)
-        used = [s for m in combo for s in m.used]
+        used = [s for m in combo for s in set(m.used)]  # a closure may repeat an event
         if last - first > window or len(set(used)) < len(used):
             continue
         bound = {k: v for m in combo for k, v in m.bound.items()}

@@ -45,6 +45,7 @@ one_k = (KCIndexCondition("b", "k", EQ, offset=-1), ({"b"}, lambda m: len({e["k"
 large = (KCValueCondition("b", "x", lambda p, q: p > q, 3), ({"b"}, lambda m: all(e["x"] > 3 for e in m["b"])))
 second = (KCIndexCondition("b", "x", lambda p, q: p != q, first_index=0, second_index=1), ({"b"}, lambda m: len(m["b"]) > 1 and m["b"][0]["x"] != m["b"][1]["x"]))
 cross = (KCCrossCondition("b", "k", EQ, Var("a", "k")), ({"a", "b"}, lambda m: all(e["k"] == m["a"]["k"] for e in m["b"])))
+pairs_rise = (KCIndexCondition({"a", "b"}, "x", _OPS["<"], offset=2), ({"kc_a_b"}, lambda m: len(m["kc_a_b"]) > 2 and all(p["x"] < q["x"] for p, q in zip(m["kc_a_b"], m["kc_a_b"][2:], strict=False))))
 
 CASES = {
     "seq": (Seq(A, B), [], 5),
@@ -65,6 +66,8 @@ CASES = {
     "kleene": (Kleene(B, 1, 3), [], 6),
     "kleene conditions": (Kleene(B, 2, 3), [rising, one_k], 25),
     "kleene values": (Kleene(B, 1, 2), [large, second], 20),
+    "kleene over and": (Kleene(And(A, B), 1, 2), [lt("a", "b"), pairs_rise], 7),
+    "kleene over seq": (Kleene(Seq(A, B), 2, 2), [eq("a", "b")], 6),
     "seq with kleene": (Seq(A, Kleene(B, 1, 2), C), [cross], 10),
     "and with kleene": (And(A, Kleene(B, 2, 2)), [cross], 8),
 }
