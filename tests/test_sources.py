@@ -82,3 +82,19 @@ def test_adaptive_batches_lose_and_repeat_nothing(spark):
     for i, (lo, hi) in enumerate(((0, 2), (2, 4), (4, 6))):
         run(batch.where(f"seq >= {lo} and seq < {hi}"), i)
     assert sorted(found) == sorted((r.a__seq, r.b__seq) for r in Engine(p).run(batch).collect()) and run.replans >= 1
+
+
+def test_live_lines_with_words(spark, tmp_path):
+    from eventweave.sources.live import KeywordLines
+
+    file = tmp_path / "live.txt"
+    file.write_text("About Spark\nother\n")
+    spark.dataSource.register(KeywordLines)
+    lines = spark.readStream.format("keyword_lines").option("path", str(file)).option("words", "spark, flink").load()
+    run = lines.writeStream.format("memory").queryName("live").outputMode("append").start()
+    run.processAllAvailable()
+    with file.open("a") as f:
+        f.write("no\nFLINK too\nspark unfinished")
+    run.processAllAvailable()
+    run.stop()
+    assert sorted((r.value, r.seq) for r in spark.table("live").collect()) == [("About Spark", 0), ("FLINK too", 21)]
