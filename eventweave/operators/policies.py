@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,15 +11,19 @@ from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern, Policy, flat_sequences
 from .match import Rel
+from .storage import cut
+
+#: Matches that one task decides on.
+SMALL = 100_000
 
 
 def apply_single(rel: Rel, types: tuple[str, ...]) -> Rel:
     """Every event of those types is in at most one match; matches are accepted in the order of their completion.
 
     With one such slot in the pattern every event decides for itself, and that is a row number. With several slots an
-    accepted match takes several events, so the choice is one sequence over all matches that can share an event: the
-    matches are dealt by connected groups only where one slot suffices, else one task decides; this is inherent to the
-    strategy.
+    accepted match takes several events. Then matches are accepted in rounds: one that comes first at each of its events is
+    accepted, and those that share an event with it are gone. That gives what going through all matches in their order
+    gives, in a few rounds of grouped minima; as soon as no more than SMALL matches are left, one task decides the rest.
     """
     own = [s for s in rel.slots if s.type in types or s.type == "*"]
     if not own:
@@ -30,10 +35,20 @@ def apply_single(rel: Rel, types: tuple[str, ...]) -> Rel:
     taken = F.concat(*[s.seq if s.many else F.array(s.seq) for s in own])
     df = rel.df.withColumn("_taken", taken).withColumn("_order", F.array(*[x.cast("long") for x in order]))
     key = F.struct(*[F.col(f"`{x}`") for x in rel.df.columns])
-    slim = df.select(F.xxhash64(key).alias("_id"), "_taken", "_order")
+    live = cut(df.select(F.xxhash64(key).alias("_id"), "_taken", "_order"))
+    kept = None
+    while live.limit(SMALL + 1).count() > SMALL:
+        each = live.select("_id", "_order", F.explode("_taken").alias("event"))
+        first = each.groupBy("event").agg(F.min(F.struct("_order", "_id")).alias("first"))
+        ahead = each.join(first, "event").groupBy("_id").agg(F.bool_and(F.col("first._id") == F.col("_id")).alias("ok")).where("ok").select("_id")
+        won = cut(live.join(ahead, "_id", "left_semi"))
+        gone = each.join(won.select(F.explode("_taken").alias("event")).distinct(), "event", "left_semi").select("_id").distinct()
+        live = cut(live.join(gone, "_id", "left_anti"))
+        won = won.select(F.col("_id").alias("_kept"))
+        kept = won if kept is None else kept.union(won)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(k=rows["_order"].map(tuple)).sort_values("k", kind="stable")
+        rows = rows.assign(k=rows["_order"].map(tuple)).sort_values(["k", "_id"], kind="stable")
         seen: set[int] = set()
         keep = []
         for i, own in zip(rows["_id"], rows["_taken"], strict=True):
@@ -42,7 +57,8 @@ def apply_single(rel: Rel, types: tuple[str, ...]) -> Rel:
                 keep.append(i)
         return pd.DataFrame({"_kept": keep}, dtype="int64")
 
-    kept = slim.groupBy(F.lit(0).alias("g")).applyInPandas(choose, "_kept long")
+    rest = live.groupBy(F.lit(0).alias("g")).applyInPandas(choose, "_kept long")
+    kept = rest if kept is None else kept.union(rest)
     rel.df = df.withColumn("_id", F.xxhash64(key)).join(kept, F.col("_id") == F.col("_kept"), "left_semi").drop("_id", "_taken", "_order")
     return rel
 
@@ -52,7 +68,8 @@ def freeze_matches(rel: Rel, events: DataFrame, structure, pattern: Pattern, pol
 
     While an event of a freezer's name is in no match and not older than the window, the names at and before its place in
     its sequence take no further event. A match with the freezer, or its age, ends that. The machine needs the stream in
-    order, so events whose names can freeze or be frozen pass through one task, with their places and times only.
+    order, so places and times of the pattern's types pass through one sorted partition, a batch after the other; it remembers
+    no more than the window.
     """
     names = {s.name: s.type for s in rel.slots if not s.many}
     sequences = [x for x in flat_sequences(structure) if set(x) & set(policy.freeze)]
@@ -64,14 +81,12 @@ def freeze_matches(rel: Rel, events: DataFrame, structure, pattern: Pattern, pol
     matches = rel.df.select(rel.arrival.alias("seq"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("us"), F.array(*[F.col(f"`{n}__seq`") for n in slots]).alias("m"))
     stream = events.where(F.col("event_type").isin(sorted(set(names.values())))).select("seq", "event_type", "us", F.array().cast("array<long>").alias("m"))
 
-    def machine(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(kind=rows["event_type"].isna()).sort_values(["seq", "kind"], kind="stable")
-        ignored: dict[str, set[int]] = defaultdict(set)
+    def machine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ignored: dict[str, dict[int, int]] = defaultdict(dict)  # name -> place -> time
         active: list[tuple[str, int, int]] = []
-        out = []
         pending: list[tuple] = []
 
-        def close() -> None:
+        def close(out: list) -> None:
             for m in sorted(pending):
                 if all(s not in ignored[n] for n, s in zip(slots, m, strict=True)):
                     out.append(list(m))
@@ -79,23 +94,30 @@ def freeze_matches(rel: Rel, events: DataFrame, structure, pattern: Pattern, pol
                     active[:] = [f for f in active if own.get(f[0]) != f[1]]
             pending.clear()
 
-        for seq, kind, us, m in zip(rows["seq"], rows["event_type"], rows["us"], rows["m"], strict=True):
-            if not isinstance(kind, str):
-                pending.append(tuple(int(x) for x in m))
-                continue
-            close()
-            active[:] = [f for f in active if us - f[2] <= w]
-            stopped = {n for f, _, _ in active for n in frozen[f]}
-            for n in slots:
-                if names[n] == kind:
-                    if n in stopped:
-                        ignored[n].add(int(seq))
-                    elif n in frozen:
-                        active.append((n, int(seq), int(us)))
-        close()
-        return pd.DataFrame({"_m": out})
-
-    kept = stream.unionByName(matches).groupBy(F.lit(0).alias("g")).applyInPandas(machine, "_m array<long>")
+        for rows in batches:
+            out: list[list[int]] = []
+            for seq, kind, us, m in zip(rows["seq"], rows["event_type"], rows["us"], rows["m"], strict=True):
+                if not isinstance(kind, str):
+                    pending.append(tuple(int(x) for x in m))
+                    continue
+                close(out)
+                active[:] = [f for f in active if us - f[2] <= w]
+                stopped = {n for f, _, _ in active for n in frozen[f]}
+                for n in slots:
+                    if names[n] == kind:
+                        if n in stopped:
+                            ignored[n][int(seq)] = int(us)
+                        elif n in frozen:
+                            active.append((n, int(seq), int(us)))
+                    while ignored[n] and us - next(iter(ignored[n].values())) > w:
+                        del ignored[n][next(iter(ignored[n]))]
+            yield pd.DataFrame({"_m": pd.Series(out, dtype=object)})
+        out = []
+        close(out)
+        yield pd.DataFrame({"_m": pd.Series(out, dtype=object)})
+
+    both = stream.unionByName(matches).repartition(1).sortWithinPartitions("seq", F.col("event_type").isNull(), "m")
+    kept = both.mapInPandas(machine, "_m array<long>")
     rel.df = rel.df.join(kept, F.array(*[F.col(f"`{n}__seq`") for n in slots]) == F.col("_m"), "left_semi")
     return rel
 

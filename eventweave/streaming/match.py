@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..operators.storage import cut
 from ..plans.pattern import And, Event, Not, Pattern, Seq
 from ..plans.planner import ReplanTrigger, Statistics
 
@@ -121,15 +121,7 @@ class AdaptiveRun:
             found = engine.run(known)
             ends = F.greatest(*[F.col(x) for x in found.columns if x.endswith("__seq")], F.lit(-1))
             self.sink(found.where(ends >= span.first), batch_id)
-            self.kept = _cut(known.where(F.col("us") >= span.hi - self.pattern.window_us))
+            self.kept = cut(known.where(F.col("us") >= span.hi - self.pattern.window_us))
         finally:
             batch.unpersist()
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that executors share; where none is set, a temporary one of this machine."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventweave-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-

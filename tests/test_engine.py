@@ -130,7 +130,9 @@ def greedy(rows, names, types):
     return out
 
 
-def test_single(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_single(spark, monkeypatch, small):
+    monkeypatch.setattr("eventweave.operators.policies.SMALL", small)
     events = frame(spark, stream(8))
     base = {"window": timedelta(seconds=10)}
     rows = [{n: r[f"{n}__seq"] for n in "abc"} for r in Engine(Pattern(Seq(A, B, C), **base)).run(events).collect()]
