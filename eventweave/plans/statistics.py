@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ def arrival_rates(events: DataFrame, every: str | None = None) -> DataFrame:
     return per.join(F.broadcast(span)).select("event_type", "n", (F.col("n") * 1e6 / F.greatest("span", F.lit(1))).alias("rate"))
 
 
-def selectivity(events: DataFrame, left: tuple[str, str], right: tuple[str, str], condition: Condition, sample: float = 1.0) -> DataFrame:
-    """One row: pairs and selectivity of a condition over pairs of (type, name) events, of a sample dealt by second into pairs that meet."""
+def selectivity(events: DataFrame, left: tuple[str, str], right: tuple[str, str], condition: Condition, width: timedelta = timedelta(hours=1), sample: float = 1.0) -> DataFrame:
+    """One row: pairs and selectivity of a condition over pairs of (type, name) events that fall into one slice of that width.
+
+    Slices bound the pairs, as a pattern's window does; sample keeps a share of the events of both types, by a hash of their place.
+    """
+    us = width // timedelta(microseconds=1)
     sides = []
     for k, (kind, name) in enumerate((left, right)):
         own = events.where(F.col("event_type") == kind)
         if sample < 1:
             own = own.where(F.pmod(F.xxhash64("seq"), F.lit(1_000_000)) < int(sample * 1_000_000))
         cols = [F.col(x).alias(f"{name}__{x}") for x in own.columns if x != "event_type"]
-        sides.append(own.select(*cols, F.pmod(F.xxhash64("seq", F.lit(k)), F.lit(1024)).alias(f"_d{k}")))
+        sides.append(own.select(*cols, F.call_function("div", F.col("us") - F.pmod("us", F.lit(us)), F.lit(us)).alias(f"_d{k}")))
     pairs = sides[0].join(sides[1], F.col("_d0") == F.col("_d1"))
     ok = F.coalesce(condition.column(), F.lit(False)).cast("double")
     return pairs.agg(F.count("*").alias("pairs"), F.avg(ok).alias("selectivity"))

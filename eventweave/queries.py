@@ -221,7 +221,8 @@ register("arrival_rates", lambda spark, d: statistics.arrival_rates(events(spark
          "SELECT event_type, count(*) AS n, round(count(*) * 1e6 / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events), 9) AS rate FROM events GROUP BY event_type")
 register("own_selectivity", lambda spark, d: statistics.own_selectivity(events(spark, d), "purchase", "b", GreaterThanCondition(Var("b", "value"), 50.0)).select("events", F.round("selectivity", 9).alias("selectivity")),
          "SELECT count(*) AS events, round(avg(CASE WHEN value > 50.0 THEN 1.0 ELSE 0.0 END), 9) AS selectivity FROM events WHERE event_type = 'purchase'")
-register("pair_selectivity", lambda spark, d: statistics.selectivity(events(spark, d), ("signup", "a"), ("purchase", "b"), SmallerThanCondition(Var("a", "value"), Var("b", "value"))))
+register("pair_selectivity", lambda spark, d: statistics.selectivity(events(spark, d), ("signup", "a"), ("purchase", "b"), SmallerThanCondition(Var("a", "value"), Var("b", "value"))).select("pairs", F.round("selectivity", 9).alias("selectivity")),
+         f"SELECT count(*) AS pairs, round(avg(CASE WHEN a.value < b.value THEN 1.0 ELSE 0.0 END), 9) AS selectivity FROM {ev('a', 'signup')}, {ev('b', 'purchase')} WHERE a.us // {us(1)} = b.us // {us(1)}")
 
 
 def dealt(run: Callable[[DataFrame], DataFrame]) -> Callable:
