@@ -56,6 +56,11 @@ def drop_saved(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def checked(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of ids as a broadcast side, if it is counted to have at most that many rows; a larger one is joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 

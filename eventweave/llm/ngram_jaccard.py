@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_saved, mix, save, table, text_chunks, word_hashes
+from .common import checked, connected_components, drop_saved, mix, save, table, text_chunks, word_hashes
 
 WORDS = 5
 #: Share of the hash range whose tokens come first in order 1.
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([doc.slice(i, len(out)), pa.array(out, pa.binary())], names=["doc", "tokens"])
 
-    return docs.select("doc_id", "text").join(ids, F.col("doc") == F.col("doc_id"), "left_semi").mapInArrow(run, "doc long, tokens binary")
+    return docs.select("doc_id", "text").join(checked(ids), F.col("doc") == F.col("doc_id"), "left_semi").mapInArrow(run, "doc long, tokens binary")
 
 
 def _prefix(s: np.ndarray, order: np.uint64) -> np.ndarray:
@@ -176,7 +176,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    return save(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "jaccard-ids")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -190,7 +190,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     digests = save(_digests(docs), "jaccard-digests")
     known = digests.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes.select("rep").distinct(), F.col("rep") == F.col("doc_id"), "left_semi")
+    # Copies are few beside all documents, so it is they that are looked up: the tokens then need no shuffle to leave them out.
+    copies = save(known.select("doc_id").distinct().join(classes.select("rep").distinct(), F.col("rep") == F.col("doc_id"), "left_anti"), "jaccard-copies")
+    reps = known.join(checked(copies), "doc_id", "left_anti")
     postings = save(_postings(reps), "jaccard-postings")
 
     signs = save(reps.select(F.col("doc_id").alias("doc"), "n", *_PARITY), "jaccard-signs")
