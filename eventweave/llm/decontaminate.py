@@ -241,7 +241,12 @@ def _match(ix: Index, n: int, found, best) -> None:
 
 
 def find_contamination(docs: DataFrame, ix: Index) -> DataFrame:
-    """docs with contaminated boolean, item_ids array<long> (sorted), edits array<int> (of each item) more. Null and empty texts match nothing."""
+    """docs with contaminated boolean, item_ids array<long> (sorted), edits array<int> (of each item) more.
+
+    Null and empty texts match nothing. Items of equal texts are all named. Repeated rows are judged each on its own, an empty table gives an empty one,
+    and whole texts of any length are read.
+    Columns of docs with these names are replaced.
+    """
     from pyspark.sql import types as T
 
     extra = [T.StructField("contaminated", T.BooleanType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("edits", T.ArrayType(T.IntegerType()))]

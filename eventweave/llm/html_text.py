@@ -160,7 +160,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """pages without the html column and with text (string, never null) and n_chars (its code points)."""
+    """pages without the html column and with text (string, never null) and n_chars (its code points).
+
+    A null or empty page has an empty text. Repeated rows are judged each on its own, an empty table gives an empty one,
+    and whole texts of any length are read. Columns of pages called text or n_chars are replaced.
+    """
     from pyspark.sql import types as T
 
     own = [f for f in pages.schema.fields if f.name not in (html, text, "n_chars")]

@@ -190,7 +190,12 @@ def fit_on(docs: DataFrame) -> Model:
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(text, ...) without text and with lang_pred, score more."""
+    """docs(text, ...) without text and with lang_pred, score more.
+
+    A null text and one without a letter is und with score 0; of equally likely languages the first by name is taken.
+    Repeated rows are judged each on its own, an empty table gives an empty one,
+    and whole texts of any length are read. Columns of docs called lang_pred or score are replaced.
+    """
     from pyspark.sql import types as T
 
     own = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]

@@ -192,6 +192,8 @@ def find_pii(docs: DataFrame, text: str = "text", cut: float = 0.5, keep_text: b
 
     pii is array<struct<kind string, start int, end int, base boolean, p double>>: first by kind as listed in KINDS, then by
     start; places count code points, the end is exclusive. A null text is an empty one and has no span.
+    Repeated rows are judged each on its own, an empty table gives an empty one,
+    and whole texts of any length are read. A column of docs called pii is replaced.
     """
     c = F.coalesce(F.col(text), F.lit(""))
     kept = docs.withColumn("_pii", _candidates(c))

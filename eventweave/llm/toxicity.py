@@ -180,7 +180,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "toxicity") -> DataFrame:
-    """docs with a column of that name more: the score of every whole text, 0 to 1. Null and empty texts score as a text without toxic windows."""
+    """docs with a column of that name more: the score of every whole text, 0 to 1. Null and empty texts score as a text without toxic windows.
+
+    Repeated rows are judged each on its own, an empty table gives an empty one,
+    and whole texts of any length are read. A column of docs called like the score is replaced.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType([f for f in docs.schema.fields if f.name != score] + [T.StructField(score, T.DoubleType())])

@@ -97,7 +97,8 @@ def fit_on(labelled: DataFrame) -> np.ndarray:
 
 def judge_urls(pages: DataFrame, weights: np.ndarray, rules=RULES, cut: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of pages(page_id, url); score is the classifier's probability of unwanted
-    (0 where host and path are empty)."""
+    (0 where host and path are empty: a null url, or one without ://). Repeated rows are judged each on its own, and an empty
+    table gives an empty one. Of rules of one length the last by name wins; no two fit one url unless they are equal."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
 
