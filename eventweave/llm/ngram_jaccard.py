@@ -189,7 +189,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = save(_digests(docs), "jaccard-digests")
     known = digests.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that joins with it are joins of two exchanges, which adaptive execution can split where copies are many.
+    classes = save(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     # Copies are few beside all documents, so it is they that are looked up: the tokens then need no shuffle to leave them out.
     copies = save(known.select("doc_id").distinct().join(classes.select("rep").distinct(), F.col("rep") == F.col("doc_id"), "left_anti"), "jaccard-copies")
     reps = known.join(checked(copies), "doc_id", "left_anti")
