@@ -1,6 +1,6 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
-The background model is counted over all documents, the target model over a bounded sample of good ones. Both use the
+The background model is counted over all documents, the target model over all good ones. Both use the
 same vocabulary, the VOCABULARY most frequent words of all documents; other words are one unknown word. With v the word
 before (or the beginning) and w a word or the end,
 
@@ -24,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, save, table, text_chunks, word_hashes
+from .common import checked, mix, save, table, text_chunks, word_hashes
 
 VOCABULARY, HOT, BIGRAM = 65_536, 1024, 0.7
-#: Documents of the target sample.
-TARGET_DOCUMENTS = 5000
 UNKNOWN, EDGE = 0, 1  # EDGE is the beginning of a document as a context and its end as a token
 
 
@@ -117,12 +115,15 @@ def _hot_counts(docs: DataFrame, voc: Vocabulary) -> np.ndarray:
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every document of docs(doc_id, text).
 
-    target_ids(doc_id) names the target sample and has to be bounded (it is broadcast). n_tokens counts the words and the end of
-    the text; a null or empty text, or one of spaces, has no token and losses of 0. Rows that share a doc_id are parts of
+    target_ids(doc_id) names the target's documents, as many as there are: a table that is too large to broadcast is joined by
+    one shuffle of the texts. n_tokens counts the words and the end of the text; a null or empty text, or one of spaces, has no token and losses of 0. Rows that share a doc_id are parts of
     one document: it has one row, with all their tokens.
     """
     ids = target_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
-    docs = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("target"))
+    side = checked(ids)
+    docs = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("target"))
+    if side is ids:  # no broadcast: the texts are shuffled once, not in every pass
+        docs = save(docs, "lm-documents")
     voc = _vocabulary(docs)
     hot = _hot_counts(docs, voc)
 
@@ -184,9 +185,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 
 
 def target_sample(labels: DataFrame) -> DataFrame:
-    """The ids of at most TARGET_DOCUMENTS documents of label quality = 1, by a hash of the id."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS)
+    """The ids of all documents of label quality = 1."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def lm_query(spark, sf_dir: str) -> DataFrame:

@@ -302,3 +302,13 @@ def test_lm_scores_equal_plain_counts(spark, monkeypatch):
         assert r.n_tokens == len(pairs)
         background, wanted = (sum(m(v, w) for v, w in pairs) / max(1, len(pairs)) for m in models)
         assert abs(r.background_loss - background) < 1e-9 and abs(r.target_loss - wanted) < 1e-9 and abs(r.score - (wanted - background)) < 1e-9
+
+
+def test_lm_target_is_every_good_document(spark, monkeypatch):
+    labels = spark.range(7000).selectExpr("id AS doc_id", "CAST(id < 6000 AS INT) AS quality")
+    assert lm_score.target_sample(labels.union(labels)).count() == 6000
+    docs = frame(spark, [(i, f"a b{i % 3} c") for i in range(30)] + [(None, "a c")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "doc_id long")
+    want = sorted(map(str, lm_score.score_documents(docs, ids).collect()))
+    monkeypatch.setattr(lm_score, "checked", lambda ids: ids)  # too many ids for a broadcast
+    assert sorted(map(str, lm_score.score_documents(docs, ids).collect())) == want
