@@ -123,8 +123,10 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
-    def unknown_decl(self, data: str) -> None:
-        pass
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # HTML has no marked sections: whatever follows <![ is a bogus comment up to the next >.
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -141,11 +143,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     p = _Lines()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # the parser's answer to some broken declarations; what came before stays
-        pass
+    p.feed(html)
+    p.close()
     p.end_line()
     if not p.lines:
         return ""

@@ -32,6 +32,11 @@ def test_main_text():
     assert html_text.main_text("<article>" * 3000 + "deep") == "deep"
 
 
+def test_text_after_unknown_declarations_stays():
+    for odd in ("<![foo[x]]>", "<![1]>", "<![%x[ y ]]>", "<![CDATA[x]]>", "<![if !IE]>", "<!x>"):
+        assert html_text.main_text(f"<p>a</p>{odd}<p>b</p>") == "a\nb", odd
+
+
 def test_html_rows(spark):
     rows = [(1, None, None, 5), (1, None, None, 5), (2, "u", PAGE, 6)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
