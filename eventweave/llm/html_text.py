@@ -30,6 +30,7 @@ BLOCK = set(
 )
 CONTAINER = set("article main section div td th body blockquote".split())
 NEVER = set("head script style noscript template iframe svg math canvas object audio video nav footer aside form button select textarea menu dialog input label".split())
+UNSEEN = set("script style template noscript".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "legend", "caption", "title", "summary"}
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
@@ -52,15 +53,18 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # name, left out, container, in article or main
         self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container (-1: left out), in article or main
         self.text: list[str] = []
+        self.place: tuple[int, bool] | None = None  # container of the line's first text, in article or main
+        self.skipped = False  # whether the line met text that is left out
         self.tags = 0
         self.containers = 0
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, out, container, article = self.stack[-1]
-            self.lines.append((text, self.tags, -1 if out else container, article))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, *self.place))
+        elif self.skipped:
+            self.lines.append(("", self.tags, -1, False))  # a gap between its neighbours
+        self.text, self.place, self.skipped, self.tags = [], None, False, 0
 
     def pop_to(self, depth: int) -> None:
         del self.stack[depth:]
@@ -121,7 +125,15 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        tag, out, container, article = self.stack[-1]
+        if not out:
+            self.text.append(data)
+            if self.place is None and data.strip():
+                self.place = (container, article)
+        elif data.strip():
+            self.skipped = True
+            if tag not in UNSEEN:  # what a reader sees there parts the words around it
+                self.text.append(" ")
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         # HTML has no marked sections: whatever follows <![ is a bogus comment up to the next >.

@@ -37,6 +37,19 @@ def test_text_after_unknown_declarations_stays():
         assert html_text.main_text(f"<p>a</p>{odd}<p>b</p>") == "a\nb", odd
 
 
+def test_left_out_elements_between_and_inside_paragraphs():
+    for page, want in [
+        ("<article><p>a</p><script>var x=1</script><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><style>p{}</style>tail<p>b</p></article>", "a\ntail\nb"),
+        ("<p>text <button>Share</button></p>", "text"),
+        ("<p>one<button>Share</button>two <span class='ad'>buy</span> three</p>", "one two three"),
+        ("<p>wo<script>x</script>rd</p>", "word"),
+        ("<div>text <span class='ad'><p>buy</p></span>tail</div>", "text\ntail"),
+        ("<html><head><title>T</title><style>p{}</style><script>var a=1;</script></head><body><p>one</p><p>two</p></body></html>", "one\ntwo"),
+    ]:
+        assert html_text.main_text(page) == want, page
+
+
 def test_html_rows(spark):
     rows = [(1, None, None, 5), (1, None, None, 5), (2, "u", PAGE, 6)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
