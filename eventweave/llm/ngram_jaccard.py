@@ -91,12 +91,12 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def _explode(rows: DataFrame) -> DataFrame:
-    """doc, n, token for each token of the blobs."""
+    """doc, version, n, token for each token of the blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("tokens").to_pylist()
-            doc, n = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "d1", "n")]
             i = 0
             while i < len(blobs):  # about 1 MB of tokens at a time
                 j, size = i, 0
@@ -105,26 +105,29 @@ def _explode(rows: DataFrame) -> DataFrame:
                     j += 1
                 count = np.array([len(x) // 8 for x in blobs[i:j]])
                 token = np.frombuffer(b"".join(blobs[i:j]), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[i:j], count)), pa.array(np.repeat(n[i:j], count)), pa.array(token)], names=["doc", "n", "token"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(x[i:j], count)) for x in own], pa.array(token)], names=["doc", "version", "n", "token"])
                 i = j
 
-    return rows.select("doc_id", "n", "tokens").mapInArrow(run, "doc long, n long, token long")
+    return rows.select("doc_id", "d1", "n", "tokens").mapInArrow(run, "doc long, version long, n long, token long")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """token, doc, n, at: each set's prefix under order 1 with the tokens' places in it, without tokens that occur in one set only."""
+    """token, doc, version, n, at: each set's prefix under order 1 with the tokens' places in it, without tokens that occur in one set only.
+
+    reps holds each set of a document once; version (a half of its digest) tells the sets of one doc_id apart.
+    """
     rows = _explode(reps)
     cut = int(LOW * 2**64)  # tokens are unsigned; those with the top bit are negative here, and LOW < 0.5
     low = f"token >= 0 and token < {cut}"
     seen = rows.withColumn("df", F.count("*").over(Window.partitionBy("token")))
     rank = F.when(F.expr(low), F.col("df")).otherwise(F.lit(_HIGH))
     order = F.struct(rank.alias("rank"), F.expr("token ^ (-9223372036854775807L - 1L)").alias("key"), "token")
-    per = seen.groupBy("doc", "n").agg(
+    per = seen.groupBy("doc", "version", "n").agg(
         F.count_if(F.expr(f"df = 1 and {low}")).alias("alone"), F.collect_list(F.when(F.expr(f"df > 1 or not ({low})"), order)).alias("rest")
     )
     left = F.expr("n - (4 * n + 4) div 5 + 1") - F.col("alone")
-    rows = per.where(left > 0).select("doc", "n", "alone", F.posexplode(F.slice(F.array_sort("rest"), F.lit(1), left.cast("int"))).alias("i", "t"))
-    return rows.select("t.token", "doc", "n", (F.col("alone") + F.col("i")).alias("at"))
+    rows = per.where(left > 0).select("doc", "version", "n", "alone", F.posexplode(F.slice(F.array_sort("rest"), F.lit(1), left.cast("int"))).alias("i", "t"))
+    return rows.select("t.token", "doc", "version", "n", (F.col("alone") + F.col("i")).alias("at"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -194,22 +197,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Copies are few beside all documents, so it is they that are looked up: the tokens then need no shuffle to leave them out.
     copies = save(known.select("doc_id").distinct().join(classes.select("rep").distinct(), F.col("rep") == F.col("doc_id"), "left_anti"), "jaccard-copies")
     reps = known.join(checked(copies), "doc_id", "left_anti")
+    # Rows that repeat an id are few as well: only among them are sets made distinct.
+    versions = save(known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "jaccard-versions")
+    again = checked(versions)
+    reps = reps.join(again, "doc_id", "left_anti").unionByName(reps.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]))
     postings = save(_postings(reps), "jaccard-postings")
 
-    signs = save(reps.select(F.col("doc_id").alias("doc"), "n", *_PARITY), "jaccard-signs")
+    signs = save(reps.select(F.col("doc_id").alias("doc"), F.col("d1").alias("version"), "n", *_PARITY), "jaccard-signs")
     near = "9 * (" + " + ".join(f"bit_count({x} ^ q{x})" for x in _PARITY) + ") <= n + m"
     close = "5 * least(n, m) >= 4 * greatest(n, m) and 9 * least(n - at, m - at2) >= 4 * (n + m)"
     first = postings.groupBy("token").agg(F.min(F.struct("doc", "n", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
     first = first.select("token", F.col("f.doc").alias("a"), F.col("f.n").alias("m"), F.col("f.at").alias("at2"))
     pairs = postings.join(first, "token").where(f"doc <> a and {close}").select("a", F.col("doc").alias("b")).distinct()
     other = signs.select(F.col("doc").alias("a"), F.col("n").alias("m"), *[F.col(x).alias(f"q{x}") for x in _PARITY])
-    pairs = save(pairs.join(signs, F.col("doc") == F.col("b")).join(other, "a").where(near).select("a", "b"), "jaccard-pairs")
+    pairs = save(pairs.join(signs, F.col("doc") == F.col("b")).join(other, "a").where(near).select("a", "b").distinct(), "jaccard-pairs")
     links = save(_verify(pairs, _sets(docs, _ids(pairs))), "jaccard-links")
 
     comps = save(connected_components(links), "jaccard-comps")
-    tagged = postings.join(comps, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("comp"))
+    tagged = postings.join(comps, F.col("doc") == F.col("node"), "left").select("token", "doc", "version", "n", "at", F.coalesce("component", "doc").alias("comp"))
     mixed = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = save(tagged.join(mixed, "token").join(signs.drop("n"), "doc"), "jaccard-open")
+    open_ = save(tagged.join(mixed, "token").join(signs, ["doc", "version", "n"]), "jaccard-open")
     other = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("comp").alias("comp2"), *[F.col(x).alias(f"q{x}") for x in _PARITY])
     more = open_.withColumnRenamed("doc", "a").join(other, "token").where(f"a < b and comp <> comp2 and {close} and {near}").select("a", "b").distinct()
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
@@ -218,8 +225,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # A version of a document under the same id is in several classes; that also joins them.
     same = known.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    versions = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("a"))
-    same = same.join(versions, "a", "left_semi")
+    same = same.join(versions.withColumnRenamed("doc_id", "a"), "a", "left_semi")
     final = connected_components(comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(late).union(same))
     rep = digests.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(final, F.col("rep") == F.col("node"), "left")

@@ -74,6 +74,31 @@ def test_jaccard_odd_rows(spark):
     assert ngram_jaccard.jaccard_components(frame(spark, [])).count() == 0
 
 
+def near_copy(words, rng):
+    """One word in the middle changed: of 50 shingles 5 differ, Jaccard 45 / 55."""
+    w = list(words)
+    w[rng.randrange(10, 44)] = "other"
+    return " ".join(w)
+
+
+def test_jaccard_repeated_rows_keep_their_links(spark):
+    rng, docs = random.Random(5), []
+    for i in range(30):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(54)]
+        docs += [(i, " ".join(w))] * 3 + [(100 + i, near_copy(w, rng))]
+    got = ngram_jaccard.jaccard_components(frame(spark, docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.jaccard(docs)
+
+
+def test_jaccard_versions_of_equal_size_keep_their_links(spark):
+    rng, docs = random.Random(6), []
+    for i in range(30):
+        one, two = ([f"w{rng.randrange(10**6)}" for _ in range(54)] for _ in range(2))
+        docs += [(i, " ".join(one)), (i, " ".join(two)), (100 + i, near_copy(one, rng)), (200 + i, near_copy(two, rng))]
+    got = ngram_jaccard.jaccard_components(frame(spark, docs, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(d, d % 100) for d, _ in docs}
+
+
 def test_prefix_bound():
     for n in range(1, 200):
         assert ngram_jaccard.prefix_length(n) == n - math.ceil(round(0.8 * n, 9)) + 1
