@@ -1,8 +1,8 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score every document.
 
-The background model is counted over all documents, the target model over all good ones. Both use the
-same vocabulary, the VOCABULARY most frequent words of all documents; other words are one unknown word. With v the word
-before (or the beginning) and w a word or the end,
+The background model is counted over all documents, the target model over all good ones. Both use the same vocabulary,
+which is every word of all documents. With v the word before (or the beginning), w a word or the end and V the number of
+words and two more (the end, and a place for what is unknown),
 
     p(w | v) = BIGRAM * c(v, w) / c(v) + (1 - BIGRAM) * (c(w) + 1) / (N + V)
 
@@ -11,8 +11,10 @@ the more it is like the target.
 
 Counts and documents meet at bigrams. Pairs of the HOT most frequent words, which hold most of the tokens, are a dense
 table of bounded size that travels to every executor. Any other pair has a word beyond the HOT first, so it holds
-less than 1 / HOT of all tokens; those are dealt out by bigram, counted there, and summed by document. No count is
-capped and no rare bigram is left out.
+less than 1 / HOT of all tokens; those are dealt out by bigram, counted there, and summed by document. The counts of the
+KNOWN most frequent words travel as well. A pair with a tail word, one beyond them, is dealt out by that word, so that it
+meets the word's counts in the same shuffle; pairs of two tail words, which are few, get the second one's counts in a
+join before. No count is capped, and no rare word or bigram is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import checked, mix, save, table, text_chunks, word_hashes
 
-VOCABULARY, HOT, BIGRAM = 65_536, 1024, 0.7
+KNOWN, HOT, BIGRAM = 65_536, 1024, 0.7
+#: Most words of the vocabulary and two more, the others being one unknown word; None: every word is in it.
+VOCABULARY: int | None = None
+#: Keys of the shuffle: tail words are negative, codes of two known words below DOCUMENT, rows of a document from there on.
+DOCUMENT, WORD = 1 << 40, 1 << 62
 UNKNOWN, EDGE = 0, 1  # EDGE is the beginning of a document as a context and its end as a token
 
 
@@ -50,66 +56,86 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Word hashes (sorted) with their ids by frequency from 2 on, and counts by id for both models."""
+    """Hashes of the known words (sorted) with their ids by frequency from 2 on, and counts by id for both models."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, n_target: np.ndarray, total: int, total_target: int, docs: int, docs_target: int) -> None:
+    def __init__(self, words: np.ndarray, n: np.ndarray, n_target: np.ndarray, total: int, total_target: int, docs: int, docs_target: int, types: int | None) -> None:
         order = np.argsort(words.view(np.uint64))
         self.words, self.ids = words.view(np.uint64)[order], (np.arange(len(words)) + 2)[order].astype(np.int64)
         self.unigram = np.array([[total - n.sum(), docs, *n], [total_target - n_target.sum(), docs_target, *n_target]], dtype=np.float64)
-        self.size = len(words) + 2
         self.total = self.unigram.sum(axis=1)
+        self.size = len(words) + 2
+        self.tail = types is not None  # whether the other words are words of their own
+        self.types = (types if self.tail else len(words)) + 2
+        if self.tail:
+            self.unigram[:, UNKNOWN] = 0
 
-    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, code) of every token: code is context * size + token."""
+    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, context, token) of every token: ids of known words; a tail word is its hash with the top bit set."""
         h, first = word_hashes(data, offsets)
+        other = (h | np.uint64(1 << 63)).view(np.int64) if self.tail else np.full(len(h), UNKNOWN, np.int64)
         at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        ids = np.where(self.words[at] == h, self.ids[at], UNKNOWN) if len(self.words) else np.zeros(len(h), np.int64)
+        ids = np.where(self.words[at] == h, self.ids[at], other) if len(self.words) else other
         count = np.diff(first)
         some = count > 0
         start = first[:-1][some]
         context = np.insert(ids, start, EDGE)  # each document is its words with EDGE before
         token = np.insert(ids, first[1:][some], EDGE)
         doc = np.repeat(np.flatnonzero(some), count[some] + 1)
-        return doc, context * self.size + token
+        return doc, context, token
 
-    def loss(self, code: np.ndarray, n: np.ndarray, model: int) -> np.ndarray:
-        v, w = code // self.size, code % self.size
-        c = self.unigram[model]
-        own = (c[w] + 1) / (self.total[model] + self.size)
-        return -np.log(np.where(c[v] > 0, BIGRAM * n / np.maximum(c[v], 1), 0) + (1 - BIGRAM) * own)
+    def loss(self, n: np.ndarray, context: np.ndarray, token: np.ndarray, model: int) -> np.ndarray:
+        """Loss of a bigram from its count, its context's and its token's."""
+        own = (token + 1) / (self.total[model] + self.types)
+        return -np.log(np.where(context > 0, BIGRAM * n / np.maximum(context, 1), 0) + (1 - BIGRAM) * own)
 
 
-def _vocabulary(docs: DataFrame) -> Vocabulary:
+def _vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and key, n, n_target of all words as tail words."""
     counts = save(_counts(docs), "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
     some = docs.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").agg(F.count("*"), F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).toArrow()
-    cols = [top[c].to_numpy() for c in ("word", "n", "n_target")]
-    return Vocabulary(*[np.ascontiguousarray(c) for c in cols], int(totals[0]), int(totals[1]), int(some[0]), int(some[1]))
+    top = counts.orderBy(F.desc("n"), "word").limit((VOCABULARY or KNOWN) - 2).toArrow()
+    cols = [np.ascontiguousarray(top[c].to_numpy()) for c in ("word", "n", "n_target")]
+    voc = Vocabulary(*cols, int(totals[0]), int(totals[1]), int(some[0]), int(some[1]), None if VOCABULARY else int(totals[2]))
+    return voc, counts.select(F.expr("word | (-9223372036854775807L - 1L)").alias("key"), "n", "n_target")
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of parallel columns, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
-def _hot_counts(docs: DataFrame, voc: Vocabulary) -> np.ndarray:
-    """Counts [model, context * HOT + token] of the pairs of hot words: at most HOT^2 rows come to the driver."""
+def _pair_counts(docs: DataFrame, voc: Vocabulary) -> tuple[np.ndarray, DataFrame]:
+    """Counts [model, context * HOT + token] of the pairs of hot words, of which at most HOT^2 rows come to the driver, and the distinct pairs v, w of tail words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, HOT * HOT), np.int64)
+        row = lambda *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["pair", "w", "n", "n_target"])
         for b in batches:
             good = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for at, _, data, offsets in text_chunks(b.column("text")):
-                doc, code = voc.pairs(data, offsets)
-                v, w = code // voc.size, code % voc.size
-                hot = (v < HOT) & (w < HOT)
+                doc, v, w = voc.pairs(data, offsets)
+                hot = (v >= 0) & (v < HOT) & (w >= 0) & (w < HOT)
                 key = v[hot] * HOT + w[hot]
                 n[0] += np.bincount(key, minlength=HOT * HOT)
                 n[1] += np.bincount(key[good[at + doc[hot]]], minlength=HOT * HOT)
+                tail = (v < 0) & (w < 0)
+                if tail.any():
+                    (x, y), many = _distinct(v[tail], w[tail])
+                    yield row(x, y, many, many)
         some = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], names=["pair", "n", "n_target"])
+        yield row(some, np.zeros(len(some), np.int64), n[0][some], n[1][some])
 
-    rows = docs.select("text", "target").mapInArrow(run, "pair long, n long, n_target long")
-    got = rows.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+    rows = save(docs.select("text", "target").mapInArrow(run, "pair long, w long, n long, n_target long"), "lm-pairs")
+    got = rows.where("pair >= 0").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
     out = np.zeros((2, HOT * HOT))
     out[:, got["pair"].to_numpy()] = [got["n"].to_numpy(), got["n_target"].to_numpy()]
-    return out
+    return out, rows.where("pair < 0").select(F.col("pair").alias("v"), "w").distinct()
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -124,60 +150,83 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("target"))
     if side is ids:  # no broadcast: the texts are shuffled once, not in every pass
         docs = save(docs, "lm-documents")
-    voc = _vocabulary(docs)
-    hot = _hot_counts(docs, voc)
+    voc, words = _vocabulary(docs)
+    hot, tails = _pair_counts(docs, voc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.arange(HOT * HOT)
-        codes = np.minimum(grid // HOT, voc.size - 1) * voc.size + np.minimum(grid % HOT, voc.size - 1)
-        table_ = [voc.loss(codes, hot[m], m) for m in (0, 1)]
+        v, w = np.minimum(grid // HOT, voc.size - 1), np.minimum(grid % HOT, voc.size - 1)
+        table_ = [voc.loss(hot[m], voc.unigram[m][v], voc.unigram[m][w], m) for m in (0, 1)]
         for b in batches:
             good = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for at, n, data, offsets in text_chunks(b.column("text")):
-                doc, code = voc.pairs(data, offsets)
-                v, w = code // voc.size, code % voc.size
-                is_hot = (v < HOT) & (w < HOT)
+                doc, v, w = voc.pairs(data, offsets)
+                known = (v >= 0) & (w >= 0)
+                is_hot = known & (v < HOT) & (w < HOT)
                 key = v[is_hot] * HOT + w[is_hot]
                 sums = [np.bincount(doc[is_hot], weights=t[key], minlength=n) for t in table_]
                 tokens = np.bincount(doc, minlength=n)
                 # The rest: one row for each document and bigram, with its number there.
-                own = np.sort(doc[~is_hot] * np.int64(voc.size) ** 2 + code[~is_hot])  # VOCABULARY^2 = 2^32 and few documents in a chunk
+                cold = known & ~is_hot
+                own = np.sort(doc[cold] * np.int64(voc.size) ** 2 + v[cold] * voc.size + w[cold])  # KNOWN^2 = 2^32 and few documents in a chunk
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 many = np.diff(np.append(first, len(own)))
                 d, c = own[first] // np.int64(voc.size) ** 2, own[first] % np.int64(voc.size) ** 2
+                # With a tail word: that word, and the other one with its side in the last bit (two tail words: the second, negative).
+                v, w, doc = v[~known], w[~known], doc[~known]
+                (d2, c2, o2), many2 = _distinct(doc, np.where(v < 0, v, w), np.where(v >= 0, v * 2 + 1, np.where(w >= 0, w * 2, w)))
                 row = b.column("doc_id").slice(at, n)
-                # A document's tokens and hot sums travel as rows of negative codes of their own, the sums as the bits of a double.
-                key = (mix(row.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)) >> np.uint64(2)).astype(np.int64) // 3
-                every = np.arange(n)
+                # A document's tokens and hot sums travel as rows of codes of their own, the sums as the bits of a double.
+                key = (mix(row.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)) >> np.uint64(2)).astype(np.int64) // 3 * 3 + DOCUMENT
+                every, none = np.arange(n), np.zeros(3 * n + len(c), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row.take(pa.array(np.concatenate([every, every, every, d]))),
-                        pa.array(np.concatenate([-1 - 3 * key, -2 - 3 * key, -3 - 3 * key, c])),
-                        pa.array(np.concatenate([tokens, sums[0].view(np.int64), sums[1].view(np.int64), many * 2 + good[at + d]])),
+                        row.take(pa.array(np.concatenate([every, every, every, d, d2]))),
+                        pa.array(np.concatenate([key, key + 1, key + 2, c, c2])),
+                        pa.array(np.concatenate([none, o2])),
+                        pa.array(np.concatenate([tokens, sums[0].view(np.int64), sums[1].view(np.int64), many * 4 + good[at + d], many2 * 4 + good[at + d2]])),
                     ],
-                    names=["doc_id", "code", "n"],
+                    names=["doc_id", "code", "other", "n"],
                 )
 
-    rows = docs.mapInArrow(run, "doc_id long, code long, n long")
-    by = Window.partitionBy("code")
-    cold = F.col("code") >= 0
-    count = F.when(cold, F.shiftright("n", 1))
-    rows = rows.withColumn("c0", F.sum(count).over(by)).withColumn("c1", F.sum(F.when(F.col("n").bitwiseAND(F.lit(1)) == 1, count)).over(by))
+    rows = docs.mapInArrow(run, "doc_id long, code long, other long, n long")
+    # n is four times a count, and 0 or 1 (in the target) of a document's bigram, 2 or 3 of a word's count in either model.
+    kinds = [(c, F.lit(k).cast("long")) for k, c in ((2, "n"), (3, "n_target"))]
+    null = F.lit(None).cast("long").alias("doc_id")
+    if voc.tail:
+        second = tails.join(words, F.col("w") == F.col("key"))
+        for c, k in kinds:
+            rows = rows.unionByName(words.select(null, F.col("key").alias("code"), F.lit(WORD).cast("long").alias("other"), (F.col(c) * 4 + k).alias("n")))
+            rows = rows.unionByName(second.select(null, F.col("v").alias("code"), F.col("w").alias("other"), (F.col(c) * 4 + k).alias("n")))
+    rows = rows.repartition("code").sortWithinPartitions("code", "other")  # one shuffle and one sort for both windows
+    kind, count = F.col("n").bitwiseAND(F.lit(3)), F.shiftright("n", 2)
+    total = lambda ok, by: F.sum(F.when((F.col("code") < DOCUMENT) & ok, count)).over(by)
+    word, pair = Window.partitionBy("code"), Window.partitionBy("code", "other")
+    rows = rows.withColumns({f"u{m}": total((F.col("other") == WORD) & (kind == 2 + m), word) for m in (0, 1)})
+    rows = rows.withColumns({"c0": total(kind < 2, pair), "c1": total(kind == 1, pair)} | {f"t{m}": total((F.col("other") < 0) & (kind == 2 + m), pair) for m in (0, 1)})
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, n = (b.column(c).to_numpy() for c in ("code", "n"))
-            c0, c1 = (b.column(c).fill_null(0).to_numpy() for c in ("c0", "c1"))
-            own, kind, bits = code >= 0, (-code - 1) % 3, np.ascontiguousarray(n).view(np.float64)
+            code, other, n = (b.column(c).to_numpy() for c in ("code", "other", "n"))
+            of_doc = code >= DOCUMENT
+            own, kind, bits = ~of_doc & (n & 3 < 2), (code - DOCUMENT) % 3, np.ascontiguousarray(n).view(np.float64)
+            x, o = code[own], other[own]
+            tail, side = x < 0, o & 1 == 1
+            known = np.where(tail, 0, x)
+            v, w = np.where(tail, np.maximum(o, 0) >> 1, known // voc.size), np.where(tail, np.maximum(o, 0) >> 1, known % voc.size)
             out = np.zeros((2, len(n)))
-            for m, c in ((0, c0), (1, c1)):
-                out[m, own] = (n[own] >> 1) * voc.loss(code[own], c[own], m)
-                other = ~own & (kind == m + 1)
-                out[m, other] = bits[other]
-            tokens = np.where(~own & (kind == 0), n, 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), pa.array(out[0]), pa.array(out[1])], names=["doc_id", "tokens", "background_sum", "target_sum"])
-
-    both = rows.select("doc_id", "code", "n", "c0", "c1").mapInArrow(losses, "doc_id long, tokens long, background_sum double, target_sum double")
+            for m in (0, 1):
+                c, u, t = (b.column(f"{k}{m}").fill_null(0).to_numpy()[own] for k in "cut")
+                context = np.where(tail & ((o < 0) | ~side), u, voc.unigram[m][v])
+                token = np.where(tail & (o < 0), t, np.where(tail & side, u, voc.unigram[m][w]))
+                out[m, own] = (n[own] >> 2) * voc.loss(c, context, token, m)
+                hot_sum = of_doc & (kind == m + 1)
+                out[m, hot_sum] = bits[hot_sum]
+            tokens = np.where(of_doc & (kind == 0), n, 0)
+            every = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), pa.array(out[0]), pa.array(out[1])], names=["doc_id", "tokens", "background_sum", "target_sum"])
+            yield every.filter(pa.array(own | of_doc))
+
+    both = rows.mapInArrow(losses, "doc_id long, tokens long, background_sum double, target_sum double")
     per = both.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.sum("background_sum").alias("b"), F.sum("target_sum").alias("t"))
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0)
     per = per.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))

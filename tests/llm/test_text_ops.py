@@ -337,3 +337,23 @@ def test_lm_target_is_every_good_document(spark, monkeypatch):
     want = sorted(map(str, lm_score.score_documents(docs, ids).collect()))
     monkeypatch.setattr(lm_score, "checked", lambda ids: ids)  # too many ids for a broadcast
     assert sorted(map(str, lm_score.score_documents(docs, ids).collect())) == want
+
+
+def test_lm_every_word_is_in_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "KNOWN", 12)  # so that most words are beyond the known ones
+    monkeypatch.setattr(lm_score, "HOT", 6)
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.randrange(0, 40)))) for i in range(50)] + [(90, None), (91, " "), (92, "once")]
+    target = set(range(0, 50, 3))
+    seqs = {d: ["<s>", *(t or "").split(), "<s>"] for d, t in docs if (t or "").split()}
+    models, types = [], len({w for s in seqs.values() for w in s}) + 1
+    for own in (set(seqs), target & set(seqs)):
+        uni, bi = Counter(w for d in own for w in seqs[d][1:]), Counter(p for d in own for p in zip(seqs[d], seqs[d][1:], strict=False))
+        models.append(lambda v, w, u=uni, b=bi, t=sum(uni.values()): -math.log((0.7 * b[v, w] / u[v] if u[v] else 0) + 0.3 * (u[w] + 1) / (t + types)))
+    got = lm_score.score_documents(frame(spark, docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "doc_id long")).collect()
+    assert len(got) == len(docs) and types > 100
+    for r in got:
+        pairs = list(zip(seqs[r.doc_id], seqs[r.doc_id][1:], strict=False)) if r.doc_id in seqs else []
+        assert r.n_tokens == len(pairs)
+        background, wanted = (sum(m(v, w) for v, w in pairs) / max(1, len(pairs)) for m in models)
+        assert abs(r.background_loss - background) < 1e-9 and abs(r.target_loss - wanted) < 1e-9 and abs(r.score - (wanted - background)) < 1e-9
