@@ -2,9 +2,11 @@
 
 The standard library's parser streams a page's events. Every block element begins a new line; a line holds its text and
 the number of tags met in it. The ratios (characters per tag) are smoothed with a Gaussian kernel over neighbouring
-lines, and lines of at least the threshold are content. A container (the nearest enclosing article, section, div or
-cell) that holds content lines is a content region, with its short lines too, since a one-word paragraph or a heading
-between long paragraphs belongs to them. Elements that can't be article text by tag, role or class take no part.
+lines, and lines of at least the threshold are content. A container (the nearest enclosing article, section, div or,
+outside an article, cell) that holds content lines is a content region, with its short lines too, since a one-word paragraph
+or a heading between long paragraphs belongs to them. On a page with an article or main element only lines inside it are
+looked at, but it is the ratios that decide which of its containers are content, there as elsewhere. Elements that
+can't be article text by tag, role or class take no part.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BLOCK = set(
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINER = set("article main section div td th body blockquote".split())
+CELL = {"td", "th"}
 NEVER = set("head script style noscript template iframe svg math canvas object audio video nav footer aside form button select textarea menu dialog input label".split())
 UNSEEN = set("script style template noscript".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "legend", "caption", "title", "summary"}
@@ -93,7 +96,7 @@ class _Lines(HTMLParser):
             article = True
         if not out:
             out = tag in NEVER or (tag == "header" and not article) or self.around(tag, attrs, article)
-        if tag in CONTAINER:
+        if tag in CONTAINER and not (article and tag in CELL):
             self.containers += 1
             container = self.containers
         self.stack.append((tag, out, container, article))
@@ -166,8 +169,9 @@ def main_text(html: str | None) -> str:
     cut = min(THRESHOLD * spread, mean)
     lines = list(zip(p.lines, ratio, strict=True))
     inside = any(c >= 0 and article for (_, _, c, article), _ in lines)
-    regions = {c for (_, _, c, article), r in lines if c >= 0 and r >= cut and (article or not inside)}
-    return "\n".join(t for (t, _, c, article), _ in lines if c in regions or (inside and c >= 0 and article))
+    own = [(r, c) for (_, _, c, article), r in lines if c >= 0 and (article or not inside)]
+    regions = {c for r, c in own if r >= cut} or {c for _, c in sorted(own)[-1:]}
+    return "\n".join(t for (t, _, c, _), _ in lines if c in regions)
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

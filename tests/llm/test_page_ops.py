@@ -32,6 +32,32 @@ def test_main_text():
     assert html_text.main_text("<article>" * 3000 + "deep") == "deep"
 
 
+def test_ratios_decide_inside_an_article(monkeypatch):
+    long = "words that go on and on " * 8
+    page = f"<article><h1>Title</h1><p>{long}</p><p>Short.</p><p>{long}</p><div>" + "".join(f"<i>{i}</i><b>x</b><br>" for i in range(9)) + "</div></article>"
+    text = "\n".join(["Title", long.strip(), "Short.", long.strip()])
+    filler = "<div><p><i>a</i></p></div>" * 6
+    page = page.replace("<div>", filler + "<div>")
+    got = html_text.main_text(page)
+    assert got.startswith(text) and len(got.split("\n")) <= 6  # at most the blocks beside a long paragraph besides
+    monkeypatch.setattr(html_text, "smooth", lambda values: [1.0] * len(values))
+    assert len(html_text.main_text(page).split("\n")) == 11
+    assert html_text.main_text("<article><p>a</p></article>") == "a"
+
+
+def test_html_query(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in html_text.html_query(spark, DATA).collect():
+        # Plain reading of these pages: the blocks of the article.
+        import html
+        import re
+
+        body = re.search(r"<article>(.*)</article>", pages[r.page_id].html, re.DOTALL)[1]
+        blocks = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|blockquote|div|table|tr|td)\b[^>]*>", re.sub(r"<!--.*?-->", "", body, flags=re.DOTALL))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        assert r.text == "\n".join(b for b in plain if b) and r.url == pages[r.page_id].url
+
+
 def test_text_after_unknown_declarations_stays():
     for odd in ("<![foo[x]]>", "<![1]>", "<![%x[ y ]]>", "<![CDATA[x]]>", "<![if !IE]>", "<!x>"):
         assert html_text.main_text(f"<p>a</p>{odd}<p>b</p>") == "a\nb", odd
