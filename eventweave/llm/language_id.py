@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table, text_chunks
 
 HIDDEN, STEPS = 8, 64
-#: Documents that a fit reads at most, about the same number of each language, whole ones chosen by a hash of their id; and the languages it learns at most.
-FIT_DOCUMENTS, FIT_LANGUAGES = 3000, 200
+#: Documents that a fit is given, about the same number of each language but at least FIT_EACH, whole ones chosen by a hash of their id.
+#: Longer ones than FIT_CHARS aren't chosen (they are judged like all others), so that the driver holds a bounded sample.
+FIT_DOCUMENTS, FIT_EACH, FIT_CHARS = 3000, 20, 20_000
 ROUNDS, BATCH, RATE = 400, 192, 0.02
 #: Windows that one numpy pass holds.
 WINDOWS = 4096
@@ -175,17 +176,22 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
     return names, scores
 
 
+def fit_shares(counts: dict[str, int]) -> dict[str, float]:
+    """The share of each language's documents that a fit is given: a double, so that it is above 0 for any number of documents."""
+    each = max(FIT_EACH, FIT_DOCUMENTS // max(1, len(counts)))
+    return {lang: min(1.0, each / n) for lang, n in counts.items()}
+
+
 def fit_on(docs: DataFrame) -> Model:
-    """Fit on documents with a text and a lang whose crc32(doc_id) mod 4 is not 2. Of more languages than FIT_LANGUAGES the most frequent are learned."""
-    own = docs.where("lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2)
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()
-    if not counts:
+    """Fit on documents with a text and a lang whose crc32(doc_id) mod 4 is not 2; every language among them is learned."""
+    own = docs.where(f"lang is not null and length(text) <= {FIT_CHARS}").where(crc_mod("doc_id", 4) != 2)
+    shares = fit_shares({r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()})
+    if not shares:
         return Model([], init(1))
-    each = max(1, FIT_DOCUMENTS // len(counts))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, int(min(1.0, each / r.n) * 1_000_000)).otherwise(share)
-    rows = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * FIT_DOCUMENTS).collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(shares.items()), "l string, share double"))  # one row for each language
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    some = own.join(wanted, F.col("lang") == F.col("l")).where(place < F.col("share"))
+    rows = some.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * max(FIT_DOCUMENTS, FIT_EACH * len(shares))).collect()
     return fit([(r.text, r.lang) for r in rows])
 
 
