@@ -9,7 +9,8 @@ a random bit of (t, word) says so. Two windows of edit distance k, walked with t
 3n written symbols. Each repetition has its own bits and keeps SAMPLES random places of the walk as its key; windows
 meet an item where a key is equal. The number of repetitions is fitted: edited copies of the items themselves are
 drawn, the share that one repetition finds is measured, and repetitions are added until the misses are below
-1 - RECALL. Windows that meet an item are verified by edit distance, so no wrong match remains.
+1 - RECALL. Windows that meet an item are verified by edit distance, so no wrong match remains. Lengths for which
+MOST_REPETITIONS don't reach it (long items: many edits) are exact instead: all windows that pass the count below are verified.
 
 Before they are walked, windows pass a lossless count: k edits destroy at most 2k of an item's n - 1 word pairs, so a
 window with fewer than n - 1 - 2k pairs of the benchmark can match nothing of that length.
@@ -50,23 +51,23 @@ def allowed(n: int) -> int:
 
 
 def edit_distance(a, b, most: int) -> int:
-    """Word edit distance of two sequences, or most + 1 where it is larger: the diagonal band of that width only."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    last = list(range(m + 1))
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - most), min(m, i + most)
-        row = [most + 1] * (m + 1)
-        if lo == 1:
-            row[0] = i
-        x = a[i - 1]
-        for j in range(lo, hi + 1):
-            row[j] = min(last[j - 1] + (x != b[j - 1]), last[j] + 1, row[j - 1] + 1)
-        if min(row[lo - 1 : hi + 1]) > most:
-            return most + 1
-        last = row
-    return min(last[m], most + 1)
+    """Word edit distance of two sequences, or most + 1 where it is larger. One bit of an integer stands for each word of a (bit-parallel columns)."""
+    n = len(a)
+    if abs(n - len(b)) > most or not n:
+        return min(max(n, len(b)), most + 1)
+    has: dict = {}
+    for i, x in enumerate(a):
+        has[x] = has.get(x, 0) | 1 << i
+    every, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = every, 0, n  # places where a column's value is one more, or one less, than above
+    for x in b:
+        eq = has.get(x, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (every & ~(diagonal | up)), up & diagonal
+        score += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & every, (left << 1) & every
+        down, up = right & (eq | down), left | (every & ~(eq | down | right))
+    return min(score, most + 1)
 
 
 def _bits(seed: int, t: int, symbols: np.ndarray) -> np.ndarray:
@@ -113,6 +114,7 @@ class Index:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pairs_of: dict[int, np.ndarray] = field(default_factory=dict)  # the pairs of the items of each length
     repetitions: dict[int, int] = field(default_factory=dict)
+    exact: set[int] = field(default_factory=set)  # lengths whose windows are all verified
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)  # length -> repetition -> key -> places in items
 
 
@@ -150,6 +152,9 @@ def build_index(benchmark: list[tuple[int, str]], seed: int = 0) -> Index:
             places = _places(r, n)
             missed &= _key(cgk(a, r, places)) != _key(cgk(b, r, places))
             r += 1
+        if missed.mean() > (1 - RECALL) / 2:
+            ix.exact.add(n)
+            continue
         ix.repetitions[n] = r
         rows = np.array([w for _, w in group], np.int64)
         ix.tables[n] = []
@@ -220,8 +225,8 @@ def _match(ix: Index, n: int, found, best) -> None:
     windows = np.concatenate([w for w, _, _ in found])
     count = np.concatenate([c for _, c, _ in found])
     text = np.repeat([d for _, _, d in found], [len(w) for w, _, _ in found])
-    meet = set()
-    for r in range(ix.repetitions[n]):
+    meet = {(i, j) for i in range(len(windows)) for j in range(len(group))} if n in ix.exact else set()
+    for r in range(ix.repetitions.get(n, 0)):
         t = ix.tables[n][r]
         for i, h in enumerate(_key(cgk(windows, r, _places(r, n))).tolist()):
             if h in t:
@@ -230,7 +235,7 @@ def _match(ix: Index, n: int, found, best) -> None:
         item, w = group[j]
         own = best[text[i]]
         most = min(k, own.get(item, k + 1) - 1)
-        if most >= 0:
+        if most >= 0 and n - 1 - count[i] <= 2 * most:  # the count bounds the distance as well
             x = [v for v in windows[i].tolist() if v != -2]
             there = set(x)
             if sum(v not in there for v in w) > most:  # each of these words costs an edit
@@ -266,12 +271,13 @@ def find_contamination(docs: DataFrame, ix: Index) -> DataFrame:
     return docs.select(*[f.name for f in own]).mapInArrow(run, schema)
 
 
-def index_of(benchmark: DataFrame, most_items: int = 100_000) -> Index:
-    """The index of a benchmark table. The benchmark is a stated query set: it travels to every executor, and a larger one than most_items is refused."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"the benchmark has more than {most_items} items; split it and run once for each part")
-    return build_index([(r.item_id, r.text) for r in rows])
+def index_of(benchmark: DataFrame, most_items: int = 100_000, most_chars: int = 100_000_000) -> Index:
+    """The index of a benchmark table. The benchmark is a stated query set: it travels to every executor, and one of more items or characters is refused."""
+    rows = benchmark.select("item_id", "text").where("item_id is not null")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size.n > most_items or size.chars > most_chars:
+        raise ValueError(f"the benchmark has more than {most_items} items or {most_chars} characters; split it and run once for each part")
+    return build_index([(r.item_id, r.text) for r in rows.collect()])
 
 
 def decontaminate_query(spark, sf_dir: str) -> DataFrame:
