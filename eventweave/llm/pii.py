@@ -14,6 +14,7 @@ without a country code) and secret (long mixed tokens).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import drop_saved, save, table
 
 KINDS = ["email", "ip", "card", "phone", "account", "contact", "secret"]
 BASE = KINDS[:4]
+#: Values that one fold goes through; longer arrays are folded in blocks.
+STEPS = 64
 
 # Patterns as Java regular expressions. Possessive quantifiers and the look-behind stop them from scanning a long run
 # again from each of its characters; they match what the plain form matches.
@@ -32,9 +35,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": _RUN,
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]++)++"
+    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]++)++"
     r"|(?<![0-9+().-])(?<!\+[0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,200}+(?![A-Za-z0-9_@.-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9_@.-])",
 }
 _NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "contact": "[\\[(]at[\\])]|[0-9]{3}[.-][0-9]{4}", "secret": "[A-Za-z0-9_-]{24}"}
 
@@ -46,20 +49,56 @@ FOR = "(?i)(mail|contact|phone|tel|call|fax|mobile|card|visa|account|konto|iban|
 AGAINST = "(?i)(isbn|issn|version|order|invoice|chapter|page|article|doi|license)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array of integers, those before it combined by op (a sum or a maximum; 0 before the first).
+
+    A fold that appends to one array copies it at each step. This one runs over blocks of STEPS values and, level by level, over
+    what the blocks come to, so that its work is the number of values times a constant.
+    """
+
+    def run(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("s"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(op(acc["s"], x).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")), lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / STEPS).cast("int") - 1), lambda i: F.slice(xs, i * STEPS + 1, F.lit(STEPS)))
+
+    zero = F.lit(0)
+
+    def whole(bs: Column) -> Column:
+        return F.aggregate(bs, zero, op)
+
+    def level(xs: Column, depth: int) -> Column:
+        if not depth:
+            return run(xs, zero)
+        deep = _once(blocks(xs), lambda bs: F.flatten(F.zip_with(bs, level(F.transform(bs, whole), depth - 1), run)))
+        return F.when(F.size(xs) <= STEPS, run(xs, zero)).otherwise(deep)
+
+    return level(values, 2)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """array<struct<start, end, m>> of all matches, leftmost first: marks go round each match, and the pieces between them are measured."""
     clean = F.translate(text, "\u0001\u0002", "\u0003\u0003")  # of equal length, and no pattern has either
     pieces = F.split(F.regexp_replace(clean, PATTERNS[kind], "\u0001$0\u0002"), "\u0001", -1)
     none = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
 
-    def step(acc: Column, piece: Column) -> Column:
+    def span(piece: Column, at: Column) -> Column:
         m = F.substring_index(piece, "\u0002", 1)
-        one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(m)).alias("end"), m.alias("m"))
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("m"))
+
+    def found(ps: Column) -> Column:
+        # The piece before the first match has no mark, each other one has the mark that ends its match.
+        sizes = F.transform(ps, lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(1))
+        both = F.zip_with(ps, _once(sizes, lambda v: _before(v, lambda a, b: a + b)), span)
+        return F.when(F.size(ps) > 1, F.slice(both, F.lit(2), F.size(ps))).otherwise(none)
 
-    start = F.struct(F.length(pieces[0]).alias("at"), none.alias("out"))
-    got = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda a: a["out"])
-    return F.when(text.rlike(_NEEDS[kind]), got).otherwise(none)
+    return F.when(text.rlike(_NEEDS[kind]), _once(pieces, found)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -218,15 +257,18 @@ def find_pii(docs: DataFrame, text: str = "text", cut: float = 0.5, keep_text: b
 def redact(text: Column, pii: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; spans that overlap become one, named after the first."""
     first = F.array_sort(pii, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(first, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(pii) > 0, done).otherwise(text)
+    def masked(spans: Column) -> Column:
+        ends = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        open_ = F.zip_with(spans, ends, lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at")))
+        # A span that begins before the one before it ends is part of it.
+        parts = F.transform(
+            F.filter(open_, lambda s: s["start"] >= s["at"]),
+            lambda s: F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
+        )
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
+
+    return F.when(F.size(pii) > 0, _once(first, masked)).otherwise(text)
 
 
 def _joined(spans: Column) -> Column:
