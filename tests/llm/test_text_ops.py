@@ -74,6 +74,36 @@ def test_jaccard_odd_rows(spark):
     assert ngram_jaccard.jaccard_components(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_with_frequent_tokens_equals_all_pairs(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_jaccard, "SAMPLE", 1)  # so that the fixture's common passages are known as frequent
+    rng, passage = random.Random(seed), [f"p{i}" for i in range(40)]
+    docs = varied(seed, 25)
+    for i in range(25):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([3, 6, 8, 12, 40]))]
+        docs.append((100 + i, " ".join(own + passage if i % 2 else passage + own)))
+    got = ngram_jaccard.jaccard_components(frame(spark, docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.jaccard(docs)
+
+
+def test_orders_keep_a_common_prefix_token():
+    rng = np.random.default_rng(0)
+    tokens = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    orders = ngram_jaccard.Orders(tokens[::3], np.arange(2, 2 + len(tokens[::3])))
+    for _ in range(200):
+        n = int(rng.integers(1, 200))
+        a = np.sort(rng.choice(tokens, n, replace=False))
+        b = np.sort(np.concatenate([a[rng.random(n) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        o = (4 * (len(a) + len(b)) + 8) // 9
+        for salt in (None, *ngram_jaccard._ORDERS.values()):
+            p, q = (orders.prefix(s, orders.counts(s), salt) for s in (a, b))
+            assert len(p) == ngram_jaccard.prefix_length(len(a))
+            assert len(np.intersect1d(p, q)) >= max(1, min(len(p) - (len(a) - o), len(q) - (len(b) - o)))
+
+
 def near_copy(words, rng):
     """One word in the middle changed: of 50 shingles 5 differ, Jaccard 45 / 55."""
     w = list(words)
@@ -125,6 +155,29 @@ def test_pii_redaction_and_empty_table(spark):
     assert pii.pii_stage(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_pii_query_columns(spark):
+    truth = {r.doc_id: brute.pii(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in pii.pii_query(spark, DATA).collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == truth[r.doc_id]
+        assert len(r.spans.split(",")) >= sum(truth[r.doc_id][:4]) or not r.spans
+
+
+def test_pii_many_spans_in_one_text(spark):
+    n = 20_000
+    text = "x a@b.cd" * n
+    row = frame(spark, [(1, text)], "doc_id long, text string").select(pii._spans(pii.F.col("text"), "email").alias("s")).first()
+    assert [(x.start, x.end) for x in row.s] == [(a, b) for k, a, b in brute.base_spans(text) if k == "email"]
+    for k in (1, 63, 64, 65, 130, 5000):  # around the size of a fold's blocks
+        got = spark.range(1).select(pii._before(pii.F.sequence(pii.F.lit(1), pii.F.lit(k)), lambda a, b: a + b).alias("v")).first().v
+        assert got == [i * (i + 1) // 2 for i in range(k)]
+
+
+def test_pii_long_contacts_and_secrets(spark):
+    rows = [(1, "mail " + "a" * 100 + " (at) example.com"), (2, "key = " + "a1B2" * 100)]
+    found, _ = pii.find_pii(frame(spark, rows, "doc_id long, text string"), cut=0.0)
+    assert {r.doc_id: [s.kind for s in r.pii] for r in found.collect()} == {1: ["contact"], 2: ["secret"]}
+
+
 def test_em_finds_reliable_labelers():
     # Labeler 1 and 2 agree with the truth, labeler 4 says yes to all.
     counts = {(0, 1, 1, 0, 1): 90, (0, -1, -1, 0, 1): 100, (0, 1, -1, 0, 1): 5}
@@ -179,6 +232,38 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.find(ix, [long]) == [{1: 0}]
 
 
+@pytest.mark.parametrize("n", [16, 600])
+def test_decontamination_of_short_and_long_items(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(3)]
+    ix = decontaminate.build_index(items)
+    assert (n in ix.exact) == (n == 600)  # where the repetitions don't reach the recall, every window is verified
+    for item, t in items:
+        w = t.split()
+        for p in rng.sample(range(n), decontaminate.allowed(n)):
+            w[p] = "zz"
+        pad = rng.choices(vocabulary, k=30)
+        assert item in decontaminate.find(ix, [" ".join(pad + w + pad)])[0]
+        assert decontaminate.find(ix, [" ".join(pad + w[: n // 2] + pad)]) == [{}]
+
+
+def test_decontamination_query(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = {r.doc_id: r for r in decontaminate.decontaminate_query(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert set(got) == {r.doc_id for r in docs}
+    for r in docs:
+        plain = " ".join(decontaminate.words(r.text))
+        inside = [i for i, t in items if t and f" {' '.join(decontaminate.words(t))} " in f" {plain} "]
+        assert set(inside) <= set(got[r.doc_id].item_ids) and got[r.doc_id].n_items == len(got[r.doc_id].item_ids)
+
+
+def test_decontamination_refuses_what_is_no_query_set(spark):
+    with pytest.raises(ValueError, match="characters"):
+        decontaminate.index_of(frame(spark, [(1, "some text")], "item_id long, text string"), most_chars=5)
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(200):
@@ -296,6 +381,12 @@ def test_language_query(spark):
     assert language_id.fit_on(frame(spark, [])).languages == []
 
 
+def test_language_shares_never_vanish():
+    shares = language_id.fit_shares({"de": 10**9, "en": 3 * 10**12, "xx": 2})
+    assert shares["xx"] == 1 and all(900 < shares[k] * n < 1100 for k, n in (("de", 10**9), ("en", 3 * 10**12)))
+    assert len(language_id.fit_shares({f"l{i}": 50 for i in range(500)})) == 500
+
+
 def test_lm_scores_equal_plain_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "VOCABULARY", 60)
     monkeypatch.setattr(lm_score, "HOT", 8)
