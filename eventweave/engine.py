@@ -86,7 +86,7 @@ class Engine:
         policy = normalised_policy(pattern)
         if "prob" in events.columns and pattern.confidence is None:
             raise ValueError("a stream with probabilities needs patterns with a confidence")
-        options = replace(self.options, order=self._order(pattern.window_us))
+        options = replace(self.options, order=self._order(pattern.window_us), rates=self.rates if self.planner != "trivial" else None)
         conditions = [*pattern.condition.conjuncts(), *contiguity(pattern, options.compat)]
         if options.compat:
             conditions += nested_orders(pattern.structure)

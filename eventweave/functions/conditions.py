@@ -296,6 +296,12 @@ class KCCrossCondition(Condition):
         one = lambda e: _apply(self.relation_op, [Var(self.name, self.attribute).column(e), other])
         return (F.exists if self.any_element else F.forall)(F.col(f"`{self.name}`"), one)
 
+    def join_key(self) -> Column | None:
+        """What follows from an equality of all elements with another event: that of the first one, by which a join can meet."""
+        if self.any_element or not isinstance(self.other, Var) or not (self.relation_op is _OPS["="] or getattr(self.relation_op, "__name__", "") == "eq"):
+            return None
+        return Var(self.name, self.attribute).column(F.get(F.col(f"`{self.name}`"), F.lit(0))) == self.other.column()
+
     def key(self) -> tuple:
         other = self.other.key() if isinstance(self.other, Var) else ("lit", self.other)
         return ("kc-cross", self.name, self.attribute, self.relation_op, other, self.any_element)

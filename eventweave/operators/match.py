@@ -29,6 +29,8 @@ class Options:
     part: str | None = None
     #: Join order of each operator: a function from (node, arguments) to an order of the positive arguments.
     order: object = None
+    #: Arrival rates by event type, by which negations are put in order; without them they are taken as written.
+    rates: dict[str, float] | None = None
 
 
 @dataclass
@@ -138,6 +140,8 @@ class Compiler:
         args = list(node.args)
         positive = [i for i, a in enumerate(args) if not isinstance(a, Not)]
         negative = [i for i, a in enumerate(args) if isinstance(a, Not)]
+        if rates := self.options.rates:  # the most frequent negative first: it ends most matches
+            negative.sort(key=lambda i: -min(rates.get(e.type, 1.0) for e in events_of(args[i].arg)))
         if not positive:
             raise ValueError("a Not needs a positive event beside it")
         self.refuse_between_negatives(args, negative)
@@ -188,6 +192,7 @@ class Compiler:
         own = self.take(names)
         keyed = any(x.key()[0] == "=" and all(isinstance(t, Var) for t in x.terms) and len(x.names()) == 2 for x in own)
         on += [x.column() for x in own]
+        on += [k for x in own if isinstance(x, KCCrossCondition) and (k := x.join_key()) is not None]
         da, db = a.df, b.df
         if self.options.part and not a.slots[0].many and not b.slots[0].many:
             on.append(c(a.slots[0].name, self.options.part) == c(b.slots[0].name, self.options.part))

@@ -145,6 +145,12 @@ register("or_union", found(pattern(Seq(A, Or(B, C_)), *same("a", "b"), EqConditi
          sql("a.id AS a_id, b.id AS b_id, NULL::BIGINT AS c_id", AB, f"a.user_id = b.user_id AND a.us <= b.us AND b.us - a.us <= {us(12)}") + " UNION ALL "
          + sql("a.id AS a_id, NULL::BIGINT AS b_id, c.id AS c_id", [("a", "signup"), ("c", "click")], f"a.user_id = c.user_id AND a.us <= c.us AND c.us - a.us <= {us(12)}"))
 
+register("rewrite_and_and", found(pattern(And(V, And(C_, B)), *same("v", "c", "b"), window=6 * H), IDS3),
+         sql(SEL_VCB, VCB, f"v.user_id = c.user_id AND v.user_id = b.user_id AND {spread('v', 'c', 'b', hours=6)}"))
+register("rewrite_not_not", found(pattern(Seq(V, Not(Not(C_)), B), *same("v", "c", "b"), window=12 * H), IDS3), sql(SEL_VCB, VCB, KEYED_VCB))
+register("negatives_by_rate", found(pattern(Seq(A, Not(R), Not(V), B), *same("a", "b"), user_r, EqCondition(Var("a", "user_id"), Var("v", "user_id")), window=D), SEQ_AB, planner="greedy",
+                                    rates={"signup": 1.0, "purchase": 1.0, "error": 1.0, "view": 5.0}), sql(SEL_AB, AB, f"{KEYED_AB} AND {MIDDLE} AND {early}"))
+
 # Kleene closures: unrolled self-joins up to the largest size.
 KC = Kleene(Event("purchase", "p"), 1, 3)
 one_user = KCIndexCondition("p", "user_id", EQ, offset=-1)
@@ -191,8 +197,17 @@ register("match_next_one_type", found(pattern(Seq(V, C_, B), *same("v", "c", "b"
          f"WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_id ORDER BY greatest(v_id, c_id), c_id) AS k FROM ({pairs})) WHERE k = 1), "
          f"t AS (SELECT v_id, c_id, b.id AS b_id FROM p, {ev('b', 'purchase')} WHERE b.user_id = p.user_id AND c_us <= b.us AND b.us - v_us <= {us(12)}) "
          "SELECT v_id, c_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY v_id ORDER BY b_id, c_id) AS k FROM t) WHERE k = 1")
-register("match_single_all", found(pattern(Seq(A, B), *same("a", "b"), window=D, policy=Policy(primary="single")), IDS))
-register("freeze", found(pattern(Seq(A, B), *same("a", "b"), window=D, policy=Policy(freeze="a")), IDS))
+# Going through all matches in their order: one is kept if none of its events is taken.
+register("match_single_all", found(pattern(Seq(A, B), *same("a", "b"), window=D, policy=Policy(primary="single")), IDS),
+         f"WITH RECURSIVE m AS (SELECT a_id, b_id, row_number() OVER (ORDER BY greatest(a_id, b_id), a_id, b_id) AS k FROM ({sql(SEL_AB, AB, KEYED_AB)})), "
+         "go(k, taken, a_id, b_id, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false UNION ALL "
+         "SELECT m.k, CASE WHEN list_has_any(taken, [m.a_id, m.b_id]) THEN taken ELSE list_concat(taken, [m.a_id, m.b_id]) END, m.a_id, m.b_id, NOT list_has_any(taken, [m.a_id, m.b_id]) "
+         "FROM go JOIN m ON m.k = go.k + 1) SELECT a_id, b_id FROM go WHERE kept")
+# A signup that is taken up stops further ones until its first match, or for the length of the window.
+register("freeze", found(pattern(Seq(A, B), *same("a", "b"), window=D, policy=Policy(freeze="a")), IDS),
+         f"WITH RECURSIVE m AS ({sql(SEL_AB, AB, KEYED_AB)}), s AS (SELECT a.id, a.us, min(m.b_id) AS b FROM {ev('a', 'signup')} LEFT JOIN m ON m.a_id = a.id GROUP BY a.id, a.us), "
+         f"step AS (SELECT x.id, min(y.id) AS n FROM s x JOIN s y ON y.id > x.id AND (y.id > x.b OR y.us - x.us > {us(24)}) GROUP BY x.id), "
+         "live(id) AS (SELECT min(id) FROM s UNION ALL SELECT step.n FROM live JOIN step ON step.id = live.id) SELECT a_id, b_id FROM m WHERE a_id IN (SELECT id FROM live)")
 
 
 def with_prob(df: DataFrame) -> DataFrame:
@@ -214,7 +229,7 @@ register("multi_pattern", found(multi, {"pattern_id": "pattern_id", "a_id": "a__
          " UNION ALL ".join(sql(f"CAST({i} AS INTEGER) AS pattern_id, a.id AS a_id, b.id AS b_id, NULL::BIGINT AS v_id, NULL::BIGINT AS c_id", AB, f"a.user_id = b.user_id AND a.us <= b.us AND b.us - a.us <= {us(h)}") for i, h in ((1, 24), (2, 6)))
          + " UNION ALL " + sql("CAST(3 AS INTEGER) AS pattern_id, NULL::BIGINT AS a_id, NULL::BIGINT AS b_id, v.id AS v_id, c.id AS c_id", [("v", "view"), ("c", "click")], f"v.user_id = c.user_id AND v.us <= c.us AND c.us - v.us <= {us(6)}"))
 RATES = {"signup": 1.0, "purchase": 3.0, "click": 2.0, "view": 5.0, "error": 1.0}
-for planner in ("greedy", "dynamic_bushy"):
+for planner in ("greedy", "dynamic_bushy", "ascending_frequency", "iterative_improvement", "dynamic_left_deep", "zstream", "zstream_ordered", "greedy_invariant", "zstream_invariant"):
     register(f"seq3_plan_{planner}", found(seq_vcb, IDS3, planner=planner, rates=RATES), sql(SEL_VCB, VCB, KEYED_VCB))
 
 register("arrival_rates", lambda spark, d: statistics.arrival_rates(events(spark, d)).select("event_type", "n", F.round("rate", 9).alias("rate")),
@@ -243,16 +258,17 @@ def streamed(p: Pattern, columns: dict[str, str]) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         from uuid import uuid4
 
+        from .operators.storage import shared_dir
         from .streaming.match import stream_matches
 
         raw = spark.read.parquet(f"{sf_dir}/events.parquet")
         stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
         stream = standard_events(stream, seq="event_id").withColumn("ts", F.col("ts").cast("timestamp"))
-        name = f"matches_{uuid4().hex}"
+        place = f"{shared_dir(spark)}/matches-{uuid4().hex}"  # matches go to files, never to the driver
         out = stream_matches(stream, p).selectExpr(*[f"{x} AS {n}" for n, x in columns.items()])
-        run = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        run = out.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination()
-        return spark.table(name)
+        return spark.read.schema(out.schema).parquet(f"{place}/rows")
 
     return query
 

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import cut
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and seq of a text file, or of a folder of files in the order of their names. seq grows with the line in its file and is distinct.
+    """value and seq of a text file, or of a folder of files in the order of their paths: 0 for the first line, one more for each further line.
 
-    The number is the task's place and the row in the task: lines need no shuffle and no count of what comes before.
+    Lines are numbered inside each split of a file as they are read; what comes before a split is summed over a table of
+    one row for each split. Only that table is sorted, and no line is shuffled. An empty folder gives no rows.
     """
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    upto = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(cut(splits), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("value", (F.col("id") + F.col("shift")).alias("seq"))
 
 
 def from_items(spark: SparkSession, items: Iterable[str]) -> DataFrame:
@@ -21,9 +29,22 @@ def from_items(spark: SparkSession, items: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(v, i) for i, v in enumerate(items)], "value string, seq long")
 
 
+#: Bits of a stream's numbers that count the lines of a file.
+LINE_BITS = 22
+
+
 def stream_lines(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A streaming source of lines: files that arrive in a folder."""
-    return spark.readStream.option("maxFilesPerTrigger", files).text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    """A streaming source of lines: value and seq of files that arrive in a folder, up to so many in a batch.
+
+    A stream has no count of what came before, so seq is the millisecond of the file's modification, then the line in the file:
+    lines are in order, and those of a file follow each other without a gap. Files have to differ in that millisecond. A file
+    is read whole by one task; one of more than 2^LINE_BITS lines fails the query.
+    """
+    raw = spark.readStream.option("maxFilesPerTrigger", files).text(path, wholetext=True)
+    lines = F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n", -1)
+    rows = raw.where("value <> ''").select(F.unix_millis("_metadata.file_modification_time").alias("ms"), F.posexplode(lines).alias("line", "value"))
+    too_long = F.raise_error(F.lit(f"a file of a stream has more than {1 << LINE_BITS} lines")).cast("long")
+    return rows.select("value", F.when(F.col("line") < 1 << LINE_BITS, F.shiftleft("ms", LINE_BITS) + F.col("line")).otherwise(too_long).alias("seq"))
 
 
 def first(events: DataFrame) -> Row | None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..operators.storage import cut
 from ..plans.pattern import And, Event, Not, Pattern, Seq
-from ..plans.planner import ReplanTrigger, Statistics
+from ..plans.planner import ReplanTrigger, Statistics, invariants_of
 
 
 def _interval(us: int) -> Column:
@@ -114,7 +114,7 @@ class AdaptiveRun:
             same = self.trigger.base is not None and len(self.trigger.base.rates) == len(types)
             if not same or self.trigger.should_replan(s):
                 self.rates = dict(zip(types, s.rates, strict=True))
-                self.trigger.planned(s)
+                self.trigger.planned(s, invariants_of(self.planner, s))
                 self.replans += 1
             known = batch if self.kept is None else self.kept.unionByName(batch)
             engine = Engine(self.pattern, planner=self.planner, rates=self.rates)

@@ -98,3 +98,55 @@ def test_live_lines_with_words(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r.value, r.seq) for r in spark.table("live").collect()) == [("About Spark", 0), ("FLINK too", 21)]
+
+
+def unequal_files(folder):
+    import os
+
+    folder.mkdir()
+    lines = []
+    for k, n in enumerate([2, 50, 0, 1, 7]):
+        own = [f"{'abcde'[k]}{i}" for i in range(n)]
+        (folder / f"{'abcde'[k]}.txt").write_text("".join(f"{x}\n" for x in own))
+        os.utime(folder / f"{'abcde'[k]}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+        lines += own
+    return lines
+
+
+def test_lines_of_unequal_files_are_in_order(spark, tmp_path):
+    lines = unequal_files(tmp_path / "in")
+    got = {r.seq: r.value for r in io.read_lines(spark, str(tmp_path / "in")).collect()}
+    assert [got[i] for i in range(len(lines))] == lines and len(got) == len(lines)
+    (tmp_path / "big.txt").write_text("".join(f"{i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # many splits of one file
+    try:
+        rows = io.read_lines(spark, str(tmp_path / "big.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 20_000 and all(str(r.seq) == r.value for r in rows)
+
+
+def test_stream_of_lines_equals_batch(spark, tmp_path):
+    lines = unequal_files(tmp_path / "in")
+    run = io.stream_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("lines_read").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert not run.exception()
+    rows = sorted((r.seq, r.value) for r in spark.table("lines_read").collect())
+    assert [v for _, v in rows] == lines and len({s for s, _ in rows}) == len(lines)
+    assert all(b[0] - a[0] == 1 for a, b in zip(rows, rows[1:], strict=False) if a[1][0] == b[1][0])
+
+
+def test_contiguous_lines_across_files(spark, tmp_path):
+    from datetime import timedelta
+
+    from eventweave.engine import Engine, standard_events
+    from eventweave.plans.pattern import Event, Pattern, Policy, Seq
+    from pyspark.sql import functions as F
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("x\ny\nx\n")
+    (tmp_path / "in" / "2.txt").write_text("y\nx\nx\ny\n")
+    events = io.read_lines(spark, str(tmp_path / "in")).select("seq", F.col("value").alias("event_type"), F.timestamp_seconds("seq").alias("ts"))
+    p = Pattern(Seq(Event("x", "a"), Event("y", "b")), window=timedelta(hours=1), policy=Policy(contiguous=["a", "b"]))
+    assert sorted((r.a__seq, r.b__seq) for r in Engine(p).run(standard_events(events)).collect()) == [(0, 1), (2, 3), (5, 6)]
