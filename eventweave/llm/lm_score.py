@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checked, mix, save, table, text_chunks, word_hashes
 
-KNOWN, HOT, BIGRAM = 65_536, 1024, 0.7
+KNOWN, HOT, BIGRAM = 262_144, 1024, 0.7
 #: Most words of the vocabulary and two more, the others being one unknown word; None: every word is in it.
 VOCABULARY: int | None = None
 #: Keys of the shuffle: tail words are negative, codes of two known words below DOCUMENT, rows of a document from there on.
@@ -94,10 +94,22 @@ def _vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     counts = save(_counts(docs), "lm-words")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count("*")).first()
     some = docs.where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").agg(F.count("*"), F.coalesce(F.sum(F.col("target").cast("long")), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit((VOCABULARY or KNOWN) - 2).toArrow()
+    # How often a word occurs, in steps of a 16th of an octave: the steps from the top on that hold less than KNOWN words travel. No order of all words is needed.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    if VOCABULARY:
+        known, rest = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2), counts.limit(0)
+    else:
+        held, first = 0, 2**31 - 1
+        for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):  # at most 1024 rows
+            held += r.words
+            if held > KNOWN - 2:
+                break
+            first = r.step
+        known, rest = counts.where(step >= first), counts.where(step < first)
+    top = known.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     cols = [np.ascontiguousarray(top[c].to_numpy()) for c in ("word", "n", "n_target")]
     voc = Vocabulary(*cols, int(totals[0]), int(totals[1]), int(some[0]), int(some[1]), None if VOCABULARY else int(totals[2]))
-    return voc, counts.select(F.expr("word | (-9223372036854775807L - 1L)").alias("key"), "n", "n_target")
+    return voc, rest.select(F.expr("word | (-9223372036854775807L - 1L)").alias("key"), "n", "n_target")
 
 
 def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -168,7 +180,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
                 tokens = np.bincount(doc, minlength=n)
                 # The rest: one row for each document and bigram, with its number there.
                 cold = known & ~is_hot
-                own = np.sort(doc[cold] * np.int64(voc.size) ** 2 + v[cold] * voc.size + w[cold])  # KNOWN^2 = 2^32 and few documents in a chunk
+                own = np.sort(doc[cold] * np.int64(voc.size) ** 2 + v[cold] * voc.size + w[cold])  # KNOWN^2 = 2^36 and few documents in a chunk
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 many = np.diff(np.append(first, len(own)))
                 d, c = own[first] // np.int64(voc.size) ** 2, own[first] % np.int64(voc.size) ** 2
