@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .operators.match import Compiler, Options, Rel, c
 from .operators.policies import apply_single, freeze_matches
+from .operators.storage import cut
 from .plans.pattern import SINGLE, NEXT, ANY, And, Event, Kleene, Not, Pattern, Policy, Seq, events_of, flat_sequences
 from .plans.planner import PLANNERS, Statistics
 from .plans.rewrite import ALL, rewrite
+from .plans.sharing import parts_to_share, share_key
 from .functions.conditions import AndCondition, SimpleCondition, Var
 
 
@@ -50,12 +52,13 @@ class Engine:
 
     planner orders the joins of each operator from statistics (event type -> rate); without statistics arguments are
     joined in their own order. share: patterns that are equal but for window and confidence are evaluated once, with
-    the widest window, and told apart afterwards.
+    the widest window, and told apart afterwards. With subtrees, tabu or annealing, parts that several patterns have in
+    common (see plans.sharing) are also evaluated once: run computes and writes them, and each pattern joins the rest to them.
     """
 
     def __init__(
         self, patterns: Pattern | Sequence[Pattern], options: Options | None = None, planner: str = "trivial", rates: dict[str, float] | None = None,
-        selectivity: dict[tuple[str, str], float] | None = None, rules: Sequence[str] = ALL, share: bool = True,
+        selectivity: dict[tuple[str, str], float] | None = None, rules: Sequence[str] = ALL, share: bool | str = True,
     ) -> None:
         self.patterns = [patterns] if isinstance(patterns, Pattern) else list(patterns)
         if not self.patterns:
@@ -82,7 +85,7 @@ class Engine:
 
         return order
 
-    def compile(self, events: DataFrame, pattern: Pattern) -> Rel:
+    def compile(self, events: DataFrame, pattern: Pattern, parts: dict[frozenset, Rel] | None = None) -> Rel:
         policy = normalised_policy(pattern)
         if "prob" in events.columns and pattern.confidence is None:
             raise ValueError("a stream with probabilities needs patterns with a confidence")
@@ -95,7 +98,7 @@ class Engine:
         structure = pattern.structure
         if isinstance(structure, (Event, Kleene)):
             structure = Seq(structure)
-        compiler = Compiler(own, pattern.window_us, conditions, options, policy, pattern.confidence)
+        compiler = Compiler(own, pattern.window_us, conditions, options, policy, pattern.confidence, parts)
         rel = compiler.compile(structure)
         if left := [x for i, x in enumerate(compiler.conditions) if i not in compiler.used and x.names()]:
             raise ValueError(f"no operator binds all events of a condition on {[sorted(x.names()) for x in left]}")
@@ -107,9 +110,22 @@ class Engine:
             rel = compiler.next_filter(rel) if len(rel.slots) == 1 else rel
         return rel
 
-    def run_one(self, events: DataFrame, pattern: Pattern) -> DataFrame:
+    def shared_parts(self, events: DataFrame, patterns: list[Pattern]) -> list[dict[frozenset, Rel]]:
+        """For each pattern the parts that it shares with others, each made once with the widest window and the lowest confidence."""
+        out: list[dict[frozenset, Rel]] = [{} for _ in patterns]
+        if not isinstance(self.share, str) or self.options.compat:  # there the order of an And's events depends on what is around it
+            return out
+        for sub, users in parts_to_share(patterns, self.share):
+            confidence = None if sub.confidence is None else min(patterns[i].confidence for i in users)
+            rel = self.compile(events, replace(sub, window=max(patterns[i].window for i in users), confidence=confidence))
+            rel.df = cut(rel.df)
+            for i in users:
+                out[i][frozenset(rel.names)] = rel
+        return out
+
+    def run_one(self, events: DataFrame, pattern: Pattern, parts: dict[frozenset, Rel] | None = None) -> DataFrame:
         """Matches of one pattern that needs no rewriting: slot columns, first_us, last_us, and prob where events have one."""
-        rel = self.compile(events, pattern)
+        rel = self.compile(events, pattern, parts)
         extra = [rel.first.alias("first_us"), rel.last.alias("last_us")]
         if rel.probs:
             p = rel.probs[0]
@@ -123,8 +139,8 @@ class Engine:
         """Matches of all patterns. Several patterns have a pattern_id, 1 for the first; slots that a pattern lacks are null."""
         many = len(self.patterns) > 1
         parts, shared = [], {}
-        from .plans.sharing import share_key
-
+        if isinstance(self.share, str) and self.share not in ("subtrees", "tabu", "annealing"):
+            raise ValueError("share is False, True, subtrees, tabu or annealing")
         for i, p in enumerate(self.patterns, 1):
             for q in rewrite(p, self.rules):
                 key = share_key(q) if self.share and many else None
@@ -133,12 +149,12 @@ class Engine:
                     continue
                 df = self.run_one(events, q)
                 parts.append(df.withColumn("pattern_id", F.lit(i)) if many else df)
-        for group in shared.values():
-            widest = replace(group[0][1], window=max(q.window for _, q in group))
+        groups, widest = list(shared.values()), []
+        for group in groups:
             confidences = [q.confidence for _, q in group]
-            if confidences[0] is not None:
-                widest = replace(widest, confidence=min(confidences))
-            df = self.run_one(events, widest)
+            widest.append(replace(group[0][1], window=max(q.window for _, q in group), confidence=None if confidences[0] is None else min(confidences)))
+        for group, wide, own in zip(groups, widest, self.shared_parts(events, widest), strict=True):
+            df = self.run_one(events, wide, own)
             ids = F.array_compact(F.array(*[F.when(self._fits(df, q), F.lit(i)) for i, q in group])) if len(group) > 1 else F.array(F.lit(group[0][0]))
             parts.append(df.withColumn("pattern_id", F.explode(ids)))
         out = parts[0]

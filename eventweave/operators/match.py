@@ -86,12 +86,28 @@ def distinct_events(a: list[Slot], b: list[Slot]) -> list[Column]:
     return out
 
 
+def shared_arguments(node, names: frozenset) -> list[int]:
+    """The places of an operator's arguments that hold just those names between them, or none."""
+    own = {i: {e.name for e in events_of(a)} for i, a in enumerate(node.args) if not isinstance(a, Not)}
+    inside = [i for i, n in own.items() if n <= names]
+    return inside if set().union(*[own[i] for i in inside]) == names else []
+
+
+def without(tree, leaves: set[int]):
+    """A join order without those leaves; None where nothing is left."""
+    if isinstance(tree, int):
+        return None if tree in leaves else tree
+    a, b = without(tree[0], leaves), without(tree[1], leaves)
+    return a if b is None else b if a is None else (a, b)
+
+
 class Compiler:
-    def __init__(self, events: DataFrame, window_us: int, conditions: list[Condition], options: Options, policy=None, confidence: float | None = None, cache: dict | None = None) -> None:
+    def __init__(self, events: DataFrame, window_us: int, conditions: list[Condition], options: Options, policy=None, confidence: float | None = None, parts: dict[frozenset, Rel] | None = None) -> None:
         self.events, self.window, self.conditions, self.options = events, window_us, list(conditions), options
         self.attributes = [x for x in events.columns if x not in ("seq", "event_type", "us")]
         self.has_prob = "prob" in events.columns
-        self.policy, self.confidence, self.cache = policy, confidence, cache
+        self.policy, self.confidence = policy, confidence
+        self.parts = parts or {}  # names -> partial matches of those events that several patterns share
         self.used: set[int] = set()
         self.next_types = set()
         if policy is not None:
@@ -146,21 +162,40 @@ class Compiler:
             raise ValueError("a Not needs a positive event beside it")
         self.refuse_between_negatives(args, negative)
         tree = self.options.order(node, [args[i] for i in positive]) if self.options.order else None
-        rels = {}
-        for k, i in enumerate(positive):
-            r = self.compile(args[i])
-            r.positions = [(i, r.first, r.last)]
-            rels[k] = r
         if tree is None:
             tree = 0
             for k in range(1, len(positive)):
                 tree = (tree, k)
+        rels = {}
+        for names in self.parts:
+            if len(inside := shared_arguments(node, names)) > 1:
+                key = len(positive) + len(rels)
+                rels[key] = self.shared_part(names, args, inside)
+                rest = without(tree, {k for k, i in enumerate(positive) if i in inside})
+                tree = key if rest is None else (key, rest)
+                positive = [None if i in inside else i for i in positive]
+        for k, i in enumerate(positive):
+            if i is not None:
+                r = self.compile(args[i])
+                r.positions = [(i, r.first, r.last)]
+                rels[k] = r
         rel = self.join_tree(tree, rels, ordered=isinstance(node, Seq))
         for i in negative:
             rel = self.negate(rel, args[i].arg, i, isinstance(node, Seq))
         rel.positions = []
         return rel
 
+    def shared_part(self, names: frozenset, args: list, inside: list[int]) -> Rel:
+        """A shared part as the join of those arguments: its conditions are done, its window and confidence may be wider than here."""
+        self.take(set(names))
+        part = self.parts[names]
+        df = part.df if self.window >= 2**62 else part.df.where(part.last - part.first <= self.window)
+        positions = []
+        for i in inside:
+            us = [c(e.name, "us") for e in events_of(args[i])]
+            positions.append((i, _least(us), _greatest(us)))
+        return self.confident(Rel(df, list(part.slots), part.first, part.last, part.arrival, positions, set(names), list(part.probs)))
+
     def refuse_between_negatives(self, args: list, negative: list[int]) -> None:
         inner = [set(e.name for e in events_of(args[i].arg)) for i in negative]
         for x in self.conditions:

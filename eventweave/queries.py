@@ -228,6 +228,14 @@ multi = [pattern(Seq(A, B), *same("a", "b"), window=D), pattern(Seq(A, B), *same
 register("multi_pattern", found(multi, {"pattern_id": "pattern_id", "a_id": "a__seq", "b_id": "b__seq", "v_id": "v__seq", "c_id": "c__seq"}),
          " UNION ALL ".join(sql(f"CAST({i} AS INTEGER) AS pattern_id, a.id AS a_id, b.id AS b_id, NULL::BIGINT AS v_id, NULL::BIGINT AS c_id", AB, f"a.user_id = b.user_id AND a.us <= b.us AND b.us - a.us <= {us(h)}") for i, h in ((1, 24), (2, 6)))
          + " UNION ALL " + sql("CAST(3 AS INTEGER) AS pattern_id, NULL::BIGINT AS a_id, NULL::BIGINT AS b_id, v.id AS v_id, c.id AS c_id", [("v", "view"), ("c", "click")], f"v.user_id = c.user_id AND v.us <= c.us AND c.us - v.us <= {us(6)}"))
+VC = Seq(V, C_)
+parts = [pattern(Seq(V, C_, B), *same("v", "c", "b"), window=12 * H), pattern(And(VC, A), *same("v", "c"), EqCondition(Var("v", "user_id"), Var("a", "user_id")), window=6 * H), pattern(VC, *same("v", "c"), window=2 * H)]
+NEAR_A = f"v.user_id = c.user_id AND v.user_id = a.user_id AND v.us <= c.us AND greatest(c.us, a.us) - least(v.us, a.us) <= {us(6)}"
+for share in ("subtrees", "tabu", "annealing"):
+    register(f"multi_pattern_{share}", found(parts, {"pattern_id": "pattern_id", "v_id": "v__seq", "c_id": "c__seq", "b_id": "b__seq", "a_id": "a__seq"}, share=share),
+             sql("CAST(1 AS INTEGER) AS pattern_id, v.id AS v_id, c.id AS c_id, b.id AS b_id, NULL::BIGINT AS a_id", VCB, KEYED_VCB)
+             + " UNION ALL " + sql("CAST(2 AS INTEGER) AS pattern_id, v.id AS v_id, c.id AS c_id, NULL::BIGINT AS b_id, a.id AS a_id", [*VCB[:2], ("a", "signup")], NEAR_A)
+             + " UNION ALL " + sql("CAST(3 AS INTEGER) AS pattern_id, v.id AS v_id, c.id AS c_id, NULL::BIGINT AS b_id, NULL::BIGINT AS a_id", VCB[:2], f"v.user_id = c.user_id AND v.us <= c.us AND c.us - v.us <= {us(2)}"))
 RATES = {"signup": 1.0, "purchase": 3.0, "click": 2.0, "view": 5.0, "error": 1.0}
 for planner in ("greedy", "dynamic_bushy", "ascending_frequency", "iterative_improvement", "dynamic_left_deep", "zstream", "zstream_ordered", "greedy_invariant", "zstream_invariant"):
     register(f"seq3_plan_{planner}", found(seq_vcb, IDS3, planner=planner, rates=RATES), sql(SEL_VCB, VCB, KEYED_VCB))

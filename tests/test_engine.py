@@ -8,6 +8,7 @@ from eventweave.engine import Engine, standard_events
 from eventweave.functions.conditions import AndCondition, EqCondition, KCCrossCondition, KCIndexCondition, KCValueCondition, OrCondition, SimpleCondition, SmallerThanCondition, Var
 from eventweave.functions.conditions import _OPS
 from eventweave.operators.match import Options
+from eventweave.operators.storage import cut
 from eventweave.plans.pattern import And, Event, Kleene, Not, Pattern, Policy, Seq, bound_names
 
 A, B, C, D = Event("A", "a"), Event("B", "b"), Event("C", "c"), Event("D", "d")
@@ -183,6 +184,31 @@ def test_several_patterns_share_and_keep_their_ids(spark):
             assert row_keys([r for r in rows if r.pattern_id == i], names) == row_keys(Engine(p).run(events).collect(), names)
 
 
+@pytest.mark.parametrize("share", ["subtrees", "tabu", "annealing"])
+def test_shared_parts_are_made_once_and_change_no_match(spark, monkeypatch, share):
+    events = frame(spark, stream(11))
+    same_k, seconds = EqCondition(Var("a", "k"), Var("b", "k")), lambda n: timedelta(seconds=n)
+    patterns = [
+        Pattern(Seq(A, B, C), AndCondition(same_k), seconds(9)),
+        Pattern(Seq(A, Not(D), B, A2), AndCondition(same_k, EqCondition(Var("b", "k"), Var("a2", "k"))), seconds(5)),
+        Pattern(Seq(D, And(Seq(A, B), C)), AndCondition(same_k), seconds(7)),
+        Pattern(Seq(C, D), window=seconds(4)),
+        Pattern(Seq(A, C, B), AndCondition(same_k), seconds(6)),
+        Pattern(Seq(A, B, C), AndCondition(same_k), seconds(6), Policy(single="A")),
+    ]
+    names = [{"a", "b", "c"}, {"a", "b", "a2"}, {"a", "b", "c", "d"}, {"c", "d"}, {"a", "b", "c"}, {"a", "b", "c"}]
+    made = []
+    monkeypatch.setattr("eventweave.engine.cut", lambda df: made.append(df) or cut(df))
+    rates = {"A": 5.0, "B": 3.0, "C": 0.5, "D": 1.0}
+    for more in ({}, {"planner": "dynamic_bushy", "rates": rates}):
+        made.clear()
+        rows = Engine(patterns, share=share, **more).run(events).collect()
+        assert 1 <= len(made) <= 2
+        for i, (p, n) in enumerate(zip(patterns, names, strict=True), 1):
+            want = row_keys(Engine(p).run(events).collect(), n)
+            assert row_keys([r for r in rows if r.pattern_id == i], n) == want and (want or i == 3), i
+
+
 def test_errors(spark):
     events = frame(spark, stream(1))
     with pytest.raises(ValueError):

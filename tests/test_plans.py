@@ -7,7 +7,7 @@ from eventweave.functions.conditions import AndCondition, EqCondition, GreaterTh
 from eventweave.plans import planner as pl
 from eventweave.plans.pattern import And, Event, Kleene, Not, Or, Pattern, Seq, flat_sequences, project_structure, structure_key
 from eventweave.plans.rewrite import rewrite
-from eventweave.plans.sharing import SharingSearch, common_sub_patterns
+from eventweave.plans.sharing import SharingSearch, common_sub_patterns, parts_to_share
 
 A, B, C, D = (Event(x, x.lower()) for x in "ABCD")
 
@@ -92,3 +92,16 @@ def test_sharing_search():
     search = SharingSearch(patterns)
     none = search.cost(frozenset())
     assert search.cost(search.tabu()) < none and search.cost(search.annealing()) < none
+
+
+def test_parts_to_share():
+    cond = AndCondition(EqCondition(Var("a", "x"), Var("b", "x")))
+    patterns = [Pattern(Seq(A, B, C), cond), Pattern(Seq(A, B, D), cond), Pattern(And(Seq(A, B), D), cond), Pattern(Seq(A, Not(B), C)), Pattern(Seq(A, B, C))]
+    for search in ("subtrees", "tabu", "annealing"):
+        users = {structure_key(sub.structure): sorted(u) for sub, u in parts_to_share(patterns, search)}
+        # The last two have a and c in common, but the condition of the others and the negation keep b apart.
+        assert set(users) <= {structure_key(Seq(A, B)), structure_key(Seq(A, C))} and users
+        assert set(users.get(structure_key(Seq(A, B)), [])) <= {0, 1, 2} and users.get(structure_key(Seq(A, C)), [3, 4]) == [3, 4]
+    assert {structure_key(sub.structure): sorted(u) for sub, u in parts_to_share(patterns)} == {structure_key(Seq(A, B)): [0, 1, 2], structure_key(Seq(A, C)): [3, 4]}
+    with pytest.raises(ValueError):
+        parts_to_share(patterns, "best")
