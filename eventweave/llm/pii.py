@@ -25,6 +25,8 @@ KINDS = ["email", "ip", "card", "phone", "account", "contact", "secret"]
 BASE = KINDS[:4]
 #: Values that one fold goes through; longer arrays are folded in blocks.
 STEPS = 64
+#: Characters of the pieces that a text is cut to for masking.
+PIECE = 256
 
 # Patterns as Java regular expressions. Possessive quantifiers and the look-behind stop them from scanning a long run
 # again from each of its characters; they match what the plain form matches.
@@ -254,21 +256,34 @@ def find_pii(docs: DataFrame, text: str = "text", cut: float = 0.5, keep_text: b
     return kept.withColumn("pii", F.transform(chosen, final)).drop("_pii"), kept
 
 
+def _cutter(pieces: Column) -> Callable[[Column, Column], Column]:
+    """substring by places (from, to) of a text that lies in pieces of PIECE characters.
+
+    Strings are UTF-8, so a place is found by walking from the beginning: here from that of its piece.
+    """
+
+    def cut(lo: Column, hi: Column) -> Column:
+        i, j = F.floor(lo / PIECE).cast("int"), F.floor((hi - 1) / PIECE).cast("int")
+        ends = F.concat(F.substring(F.get(pieces, i), lo % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(pieces, j), F.lit(1), hi - j * PIECE))
+        return F.when(hi <= lo, "").when(i == j, F.substring(F.get(pieces, i), lo % PIECE + 1, hi - lo)).otherwise(ends)
+
+    return cut
+
+
 def redact(text: Column, pii: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; spans that overlap become one, named after the first."""
     first = F.array_sort(pii, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
 
-    def masked(spans: Column) -> Column:
+    def masked(spans: Column, pieces: Column) -> Column:
+        cut = _cutter(pieces)
         ends = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
         open_ = F.zip_with(spans, ends, lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at")))
         # A span that begins before the one before it ends is part of it.
-        parts = F.transform(
-            F.filter(open_, lambda s: s["start"] >= s["at"]),
-            lambda s: F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
-        )
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
+        parts = F.transform(F.filter(open_, lambda s: s["start"] >= s["at"]), lambda s: F.concat(cut(s["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    return F.when(F.size(pii) > 0, _once(first, masked)).otherwise(text)
+    return F.when(F.size(pii) > 0, _once(first, lambda spans: _once(pieces, lambda ps: masked(spans, ps)))).otherwise(text)
 
 
 def _joined(spans: Column) -> Column:

@@ -155,6 +155,25 @@ def test_pii_redaction_and_empty_table(spark):
     assert pii.pii_stage(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_pii_redaction_of_long_texts(spark):
+    rng, rows = random.Random(4), []
+    for d in range(60):
+        n = rng.choice([0, 1, 255, 256, 257, 511, 512, 513, 3000])
+        places = sorted(rng.sample(range(n + 1), min(n + 1, rng.choice([0, 1, 2, 9]))))
+        spans = [("ip", a, min(n, a + rng.choice([1, 3, 256, 700]))) for a in places if a < n]
+        rows.append((d, "".join(rng.choice("aé😀\n") for _ in range(n)), spans))
+    rows.append((99, "é a@b.cd" * 20_000, [("email", 8 * i + 2, 8 * i + 8) for i in range(20_000)]))
+    df = frame(spark, rows, "doc_id long, text string, pii array<struct<kind:string,start:int,end:int>>")
+    got = {r.doc_id: r.t for r in df.select("doc_id", pii.redact(pii.F.col("text"), pii.F.col("pii")).alias("t")).collect()}
+    for d, text, spans in rows:
+        out, at = "", 0
+        for kind, a, b in spans:
+            if a >= at:
+                out += text[at:a] + f"<{kind.upper()}>"
+            at = max(at, b)
+        assert got[d] == out + text[at:], d
+
+
 def test_pii_query_columns(spark):
     truth = {r.doc_id: brute.pii(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in pii.pii_query(spark, DATA).collect():
