@@ -23,6 +23,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _OWN: dict[str, str] = {}
 
+#: For files of the local file system: Hadoop sets the permissions of each file and of its checksum by starting a process, chmod, from the executor's JVM.
+#: Until that process has loaded its program it shares the JVM's memory, so that what adds up processes counts the JVM twice. The plain file system starts none.
+_PLAIN = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,7 +53,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, its lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **_PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

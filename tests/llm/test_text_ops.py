@@ -1,6 +1,7 @@
 """Jaccard join, personal data, decontamination, mixing, toxicity, language, LM scores: small fixtures and plain versions."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -467,3 +468,14 @@ def test_lm_every_word_is_in_the_vocabulary(spark, monkeypatch):
         assert r.n_tokens == len(pairs)
         background, wanted = (sum(m(v, w) for v, w in pairs) / max(1, len(pairs)) for m in models)
         assert abs(r.background_loss - background) < 1e-9 and abs(r.target_loss - wanted) < 1e-9 and abs(r.score - (wanted - background)) < 1e-9
+
+
+def test_saved_tables_have_no_files_beside_the_data(spark):
+    """Each checksum file and marker is one more process that Hadoop starts from the JVM to set permissions."""
+    saved = common.save(spark.range(100).repartition(3), "files")
+    folder = os.path.dirname(saved.inputFiles()[0].removeprefix("file:"))
+    names = os.listdir("/" + folder.lstrip("/"))
+    assert names and all(n.endswith(".parquet") and not n.startswith(".") for n in names)
+    assert sorted(r.id for r in saved.collect()) == list(range(100))
+    common.drop_saved(saved)
+    assert not os.path.exists("/" + folder.lstrip("/"))
