@@ -19,11 +19,12 @@ join before. No count is capped, and no rare word or bigram is left out.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked, mix, save, table, text_chunks, word_hashes
@@ -33,6 +34,8 @@ KNOWN, HOT, BIGRAM = 262_144, 1024, 0.7
 VOCABULARY: int | None = None
 #: Keys of the shuffle: tail words are negative, codes of two known words below DOCUMENT, rows of a document from there on.
 DOCUMENT, WORD = 1 << 40, 1 << 62
+#: Rows that a task holds at once; a pair of known words with more of them waits on disk.
+ROWS = 1 << 17
 UNKNOWN, EDGE = 0, 1  # EDGE is the beginning of a document as a context and its end as a token
 
 
@@ -210,33 +213,101 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         for c, k in kinds:
             rows = rows.unionByName(words.select(null, F.col("key").alias("code"), F.lit(WORD).cast("long").alias("other"), (F.col(c) * 4 + k).alias("n")))
             rows = rows.unionByName(second.select(null, F.col("v").alias("code"), F.col("w").alias("other"), (F.col(c) * 4 + k).alias("n")))
-    rows = rows.repartition("code").sortWithinPartitions("code", "other")  # one shuffle and one sort for both windows
-    kind, count = F.col("n").bitwiseAND(F.lit(3)), F.shiftright("n", 2)
-    total = lambda ok, by: F.sum(F.when((F.col("code") < DOCUMENT) & ok, count)).over(by)
-    word, pair = Window.partitionBy("code"), Window.partitionBy("code", "other")
-    rows = rows.withColumns({f"u{m}": total((F.col("other") == WORD) & (kind == 2 + m), word) for m in (0, 1)})
-    rows = rows.withColumns({"c0": total(kind < 2, pair), "c1": total(kind == 1, pair)} | {f"t{m}": total((F.col("other") < 0) & (kind == 2 + m), pair) for m in (0, 1)})
+    rows = rows.repartition("code").sortWithinPartitions("code")  # by one long, which Spark sorts by its digits; what follows is arrays of whole codes
+
+    def of_known(code: np.ndarray, n: np.ndarray, counts: tuple | None = None) -> list[np.ndarray]:
+        """Both models' losses of rows of pairs of known words; counts: those of their only pair, where not all of its rows are here."""
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        many, v, w = n >> 2, code[first] // voc.size, code[first] % voc.size
+        rows_of = np.diff(np.append(first, len(code)))
+        c = counts or (np.add.reduceat(many, first), np.add.reduceat(many * (n & 1), first))
+        return [many * np.repeat(voc.loss(c[m], voc.unigram[m][v], voc.unigram[m][w], m), rows_of) for m in (0, 1)]
+
+    def of_tail(code: np.ndarray, other: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Both models' losses of rows with a tail word, 0 for those that hold a word's counts."""
+        order = np.lexsort((other, code))
+        x, o, many, kind = code[order], other[order], n[order] >> 2, n[order] & 3
+        new_word = np.concatenate([[True], x[1:] != x[:-1]])
+        new = new_word | np.concatenate([[True], o[1:] != o[:-1]])
+        words, first = np.flatnonzero(new_word), np.flatnonzero(new)
+        word, pair, o1 = np.cumsum(new_word)[first] - 1, np.cumsum(new) - 1, o[first]
+        total = lambda ok, at: np.add.reduceat(np.where(ok, many, 0), at)
+        both_tail, side, id_ = o1 < 0, o1 & 1 == 1, np.where((o1 < 0) | (o1 == WORD), 0, o1 >> 1)
+        out = []
+        for m in (0, 1):
+            u, t, c = total((o == WORD) & (kind == 2 + m), words)[word], total((o < 0) & (kind == 2 + m), first), total(kind == 1 if m else kind < 2, first)
+            known = voc.unigram[m][id_]
+            loss = voc.loss(c, np.where(both_tail | ~side, u, known), np.where(both_tail, t, np.where(side, u, known)), m)
+            back = np.empty(len(n))
+            back[order] = np.where(kind < 2, many * loss[pair], 0)
+            out.append(back)
+        return out
+
+    def scored(b: pa.RecordBatch, counts: tuple | None = None) -> pa.RecordBatch:
+        """Tokens and both sums for each row of whole codes that is a document's."""
+        code, other, n = (b.column(c).to_numpy() for c in ("code", "other", "n"))
+        a, z = np.searchsorted(code, [0, DOCUMENT])  # tail words, known words, documents
+        kind, bits = (code[z:] - DOCUMENT) % 3, np.ascontiguousarray(n[z:]).view(np.float64)
+        out = [np.where(kind == m + 1, bits, 0) for m in (0, 1)]
+        if z > a:
+            out = [np.concatenate(x) for x in zip(of_known(code[a:z], n[a:z], counts), out, strict=True)]
+        own = np.ones(len(n), bool)
+        if a:
+            out = [np.concatenate(x) for x in zip(of_tail(code[:a], other[:a], n[:a]), out, strict=True)]
+            own[:a] = n[:a] & 3 < 2
+        tokens = np.zeros(len(n), np.int64)
+        tokens[z:] = np.where(kind == 0, n[z:], 0)
+        every = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), *map(pa.array, out)], names=["doc_id", "tokens", "background_sum", "target_sum"])
+        return every if own.all() else every.filter(pa.array(own))
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, least, file = [], 0, ROWS, None
+
+        def spooled() -> Iterator[pa.RecordBatch]:
+            writer.close()
+            file.seek(0)
+            for b in pa.ipc.open_stream(file):
+                yield scored(b, tuple(np.array([c]) for c in counts))
+            file.close()
+
         for b in batches:
-            code, other, n = (b.column(c).to_numpy() for c in ("code", "other", "n"))
-            of_doc = code >= DOCUMENT
-            own, kind, bits = ~of_doc & (n & 3 < 2), (code - DOCUMENT) % 3, np.ascontiguousarray(n).view(np.float64)
-            x, o = code[own], other[own]
-            tail, side = x < 0, o & 1 == 1
-            known = np.where(tail, 0, x)
-            v, w = np.where(tail, np.maximum(o, 0) >> 1, known // voc.size), np.where(tail, np.maximum(o, 0) >> 1, known % voc.size)
-            out = np.zeros((2, len(n)))
-            for m in (0, 1):
-                c, u, t = (b.column(f"{k}{m}").fill_null(0).to_numpy()[own] for k in "cut")
-                context = np.where(tail & ((o < 0) | ~side), u, voc.unigram[m][v])
-                token = np.where(tail & (o < 0), t, np.where(tail & side, u, voc.unigram[m][w]))
-                out[m, own] = (n[own] >> 2) * voc.loss(c, context, token, m)
-                hot_sum = of_doc & (kind == m + 1)
-                out[m, hot_sum] = bits[hot_sum]
-            tokens = np.where(of_doc & (kind == 0), n, 0)
-            every = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), pa.array(out[0]), pa.array(out[1])], names=["doc_id", "tokens", "background_sum", "target_sum"])
-            yield every.filter(pa.array(own | of_doc))
+            if file:  # the rest of a pair with many rows
+                k = int(np.searchsorted(b.column("code").to_numpy(), pair, side="right"))
+                if k:
+                    counts = [c + x for c, x in zip(counts, spool(writer, b.slice(0, k)), strict=True)]
+                if k == b.num_rows:
+                    continue
+                yield from spooled()
+                b, file = b.slice(k), None
+            held.append(b)
+            size += b.num_rows
+            if size < least:
+                continue
+            t = pa.concat_batches(held)
+            code = t.column("code").to_numpy()
+            last = code[-1]
+            cut = size if last >= DOCUMENT else int(np.searchsorted(code, last))
+            if cut:
+                yield scored(t.slice(0, cut))
+            held, size, least = [t.slice(cut)] if cut < size else [], size - cut, ROWS
+            if size > ROWS // 2:
+                if 0 <= last:  # a pair may have as many rows as there are documents: they wait on disk
+                    file, pair = tempfile.TemporaryFile(), last
+                    writer = pa.ipc.new_stream(file, t.schema)
+                    counts = spool(writer, held[0])
+                    held, size = [], 0
+                else:  # a tail word has less than 1 / KNOWN of all tokens
+                    least = 2 * size
+        if file:
+            yield from spooled()
+        if size:
+            yield scored(pa.concat_batches(held))
+
+    def spool(writer: pa.ipc.RecordBatchStreamWriter, b: pa.RecordBatch) -> list[int]:
+        """Write rows of a pair of known words; their counts in either model."""
+        writer.write_batch(b)
+        n = b.column("n").to_numpy()
+        return [int((n >> 2).sum()), int(((n >> 2) * (n & 1)).sum())]
 
     both = rows.mapInArrow(losses, "doc_id long, tokens long, background_sum double, target_sum double")
     per = both.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.sum("background_sum").alias("b"), F.sum("target_sum").alias("t"))

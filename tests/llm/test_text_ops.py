@@ -479,3 +479,26 @@ def test_saved_tables_have_no_files_beside_the_data(spark):
     assert sorted(r.id for r in saved.collect()) == list(range(100))
     common.drop_saved(saved)
     assert not os.path.exists("/" + folder.lstrip("/"))
+
+
+def test_lm_scores_are_the_same_however_few_rows_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "KNOWN", 12)
+    monkeypatch.setattr(lm_score, "HOT", 2)  # so that frequent pairs are counted in the shuffle
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randrange(0, 40)))) for i in range(80)] + [(None, "w1 w2"), (None, "w1"), (3, "w1 w2 w70")]
+    docs = frame(spark, docs, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 80, 3)], "doc_id long")
+
+    def scores():
+        return {r.doc_id: (r.n_tokens, round(r.background_loss, 9), round(r.target_loss, 9)) for r in lm_score.score_documents(docs, ids).collect()}
+
+    want = scores()
+    assert len(want) == 81 and want[None][0] == 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        monkeypatch.setattr(lm_score, "ROWS", 8)
+        assert scores() == want
+        plan = lm_score.score_documents(docs, ids)._jdf.queryExecution().toString()
+        assert "Window" not in plan  # the rows are sorted by one key and summed as arrays
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
