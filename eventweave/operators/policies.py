@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,58 +67,78 @@ def freeze_matches(rel: Rel, events: DataFrame, structure, pattern: Pattern, pol
     """Keep the matches that freezing leaves: a state machine over the stream in its order.
 
     While an event of a freezer's name is in no match and not older than the window, the names at and before its place in
-    its sequence take no further event. A match with the freezer, or its age, ends that. The machine needs the stream in
-    order, so places and times of the pattern's types pass through one sorted partition, a batch after the other; it remembers
-    no more than the window.
+    its sequence take no further event. A match with the freezer, or its age as an event of such a name comes, ends that; the
+    age of events without a time is never told. The machine needs the stream in order, so one sorted partition passes through
+    it, a batch after the other. That holds only what can change its state: places and times of the events of those names, and
+    of all matches with the same such events the place where the first is complete. What it takes decides the matches in a
+    join. It remembers a window's ignored events where freezing concerns several names, and nothing but the freezers where it
+    concerns one.
     """
-    names = {s.name: s.type for s in rel.slots if not s.many}
-    sequences = [x for x in flat_sequences(structure) if set(x) & set(policy.freeze)]
-    if not sequences:
+    types = {s.name: s.type for s in rel.slots if not s.many}
+    frozen = {f: set(seq[: seq.index(f) + 1]) & set(types) for seq in flat_sequences(structure) for f in policy.freeze if f in seq and f in types}
+    if not frozen:
         return rel
-    frozen = {f: set(seq[: seq.index(f) + 1]) & set(names) for seq in sequences for f in policy.freeze if f in seq}
-    w = pattern.window_us
-    slots = list(names)
-    matches = rel.df.select(rel.arrival.alias("seq"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("us"), F.array(*[F.col(f"`{n}__seq`") for n in slots]).alias("m"))
-    stream = events.where(F.col("event_type").isin(sorted(set(names.values())))).select("seq", "event_type", "us", F.array().cast("array<long>").alias("m"))
+    names = [n for n in types if any(n in x for x in frozen.values())]
+    kinds = sorted({types[n] for n in names})
+    takes = [[i for i, n in enumerate(names) if types[n] == k] for k in kinds]
+    stops = {names.index(f): {names.index(n) for n in x} for f, x in frozen.items()}
+    several = len(names) > 1
+    never = 2**63 - 1
+    ends = F.coalesce(F.col("us") + pattern.window_us, F.lit(never))
+    kind = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")).cast("int") - 1
+    stream = events.where(F.col("event_type").isin(kinds) & F.col("seq").isNotNull())
+    stream = stream.select("seq", kind.alias("kind"), F.coalesce("us", F.lit(-(2**63))).alias("us"), ends.alias("ends"), *[F.lit(-1).cast("long").alias(f"n{i}") for i in range(len(names))])
+    whole = F.lit(True)
+    for s in rel.slots:
+        whole = whole & s.seq.isNotNull()
+    own = [F.col(f"`{n}__seq`").alias(f"n{i}") for i, n in enumerate(names)]
+    first = rel.df.where(whole).groupBy(*own).agg(F.min(rel.arrival).alias("seq"))
+    first = first.select("seq", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("ends"), *[f"n{i}" for i in range(len(names))])
+
+    def now(active: list) -> tuple[frozenset, int]:
+        """The names that the freezers stop, and the first time beyond which one of them has its age."""
+        return frozenset().union(*[stops[f[0]] for f in active]), min((f[2] for f in active), default=never)
 
     def machine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ignored: dict[str, dict[int, int]] = defaultdict(dict)  # name -> place -> time
-        active: list[tuple[str, int, int]] = []
-        pending: list[tuple] = []
-
-        def close(out: list) -> None:
-            for m in sorted(pending):
-                if all(s not in ignored[n] for n, s in zip(slots, m, strict=True)):
-                    out.append(list(m))
-                    own = dict(zip(slots, m, strict=True))
-                    active[:] = [f for f in active if own.get(f[0]) != f[1]]
-            pending.clear()
-
+        active: list[tuple[int, int, int]] = []  # name, place, last time; no more than one place of a name
+        stopped, soonest = frozenset(), never
+        ignored: list[set[int]] = [set() for _ in names]
+        aging: list[deque[tuple[int, int]]] = [deque() for _ in names]  # last time and place of the ignored
+        last: list[int | None] = [None] * len(names)
         for rows in batches:
-            out: list[list[int]] = []
-            for seq, kind, us, m in zip(rows["seq"], rows["event_type"], rows["us"], rows["m"], strict=True):
-                if not isinstance(kind, str):
-                    pending.append(tuple(int(x) for x in m))
+            out: list[tuple[int, int]] = []
+            for seq, k, us, end, *m in zip(*[rows[x].tolist() for x in rows.columns], strict=True):
+                before = active
+                if k < 0:
+                    for n, place, _ in active:
+                        if m[n] == place and not (several and any(s in x for s, x in zip(m, ignored, strict=True))):
+                            active = [f for f in active if m[f[0]] != f[1]]
+                            break
+                elif us > soonest:
+                    active = [f for f in active if us <= f[2]]
+                if active is not before:
+                    stopped, soonest = now(active)
+                if k < 0:
                     continue
-                close(out)
-                active[:] = [f for f in active if us - f[2] <= w]
-                stopped = {n for f, _, _ in active for n in frozen[f]}
-                for n in slots:
-                    if names[n] == kind:
-                        if n in stopped:
-                            ignored[n][int(seq)] = int(us)
-                        elif n in frozen:
-                            active.append((n, int(seq), int(us)))
-                    while ignored[n] and us - next(iter(ignored[n].values())) > w:
-                        del ignored[n][next(iter(ignored[n]))]
-            yield pd.DataFrame({"_m": pd.Series(out, dtype=object)})
-        out = []
-        close(out)
-        yield pd.DataFrame({"_m": pd.Series(out, dtype=object)})
-
-    both = stream.unionByName(matches).repartition(1).sortWithinPartitions("seq", F.col("event_type").isNull(), "m")
-    kept = both.mapInPandas(machine, "_m array<long>")
-    rel.df = rel.df.join(kept, F.array(*[F.col(f"`{n}__seq`") for n in slots]) == F.col("_m"), "left_semi")
+                before = active
+                for n in takes[k]:
+                    if n not in stopped or last[n] == seq:  # a repeated row goes the way of the first
+                        out.append((n, seq))
+                        last[n] = seq
+                        if n in stops:
+                            active = [*active, (n, seq, end)]
+                    elif several:
+                        ignored[n].add(seq)
+                        aging[n].append((end, seq))
+                    while aging[n] and us > aging[n][0][0]:
+                        ignored[n].discard(aging[n].popleft()[1])
+                if active is not before:
+                    stopped, soonest = now(active)
+            yield pd.DataFrame(out, columns=["_name", "_place"])
+
+    both = stream.unionByName(first).repartition(1).sortWithinPartitions("seq", F.desc("kind"), "us")
+    taken = both.mapInPandas(machine, "_name int, _place long")
+    taken = cut(taken) if several else taken
+    for i, n in enumerate(names):
+        rel.df = rel.df.join(taken.where(F.col("_name") == i).select("_place"), F.col(f"`{n}__seq`") == F.col("_place"), "left_semi")
     return rel
-
-

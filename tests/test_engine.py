@@ -9,7 +9,7 @@ from eventweave.functions.conditions import AndCondition, EqCondition, KCCrossCo
 from eventweave.functions.conditions import _OPS
 from eventweave.operators.match import Options
 from eventweave.operators.storage import cut
-from eventweave.plans.pattern import And, Event, Kleene, Not, Pattern, Policy, Seq, bound_names
+from eventweave.plans.pattern import And, Event, Kleene, Not, Pattern, Policy, Seq, bound_names, events_of
 
 A, B, C, D = Event("A", "a"), Event("B", "b"), Event("C", "c"), Event("D", "d")
 A2 = Event("A", "a2")
@@ -158,6 +158,58 @@ def test_freeze(spark):
     assert sorted((r.a__seq, r.b__seq) for r in rows) == [(0, 2), (0, 4), (3, 4)]
 
 
+def plain_freeze(matches, events, types, frozen, window):
+    """The matches that freezing leaves, by going through the stream. frozen: freezer -> the names that it stops."""
+    active, ignored, out = [], set(), []
+    for e in events:
+        active = [f for f in active if e["us"] - f[1]["us"] <= window]
+        stopped = {n for f, _ in active for n in frozen[f]}
+        for n, t in types.items():
+            if t == e["event_type"] and n in stopped:
+                ignored.add((n, e["seq"]))
+            elif t == e["event_type"] and n in frozen:
+                active.append((n, e))
+        for m in sorted((m for m in matches if max(m.values()) == e["seq"]), key=repr):
+            if not ignored & set(m.items()):
+                out.append(m)
+                active = [(n, x) for n, x in active if m[n] != x["seq"]]
+    return out
+
+
+@pytest.mark.parametrize(
+    "structure, freeze, frozen",
+    [
+        (Seq(A, B), "a", {"a": "a"}),
+        (Seq(A, B, C), "b", {"b": "ab"}),
+        (Seq(A, B, C), ["a", "c"], {"a": "a", "c": "abc"}),
+        (And(Seq(A, B), Seq(C, D)), ["a", "d"], {"a": "a", "d": "cd"}),
+        (Seq(A, Event("A", "e"), B), "a", {"a": "a"}),
+    ],
+)
+def test_freeze_is_as_going_through_the_stream(spark, structure, freeze, frozen):
+    kept = 0
+    for seed in range(3):
+        events, same_k = stream(seed + 20, n=36, span=60, types=sorted(e.type for e in events_of(structure))), EqCondition(Var("a", "k"), Var("b", "k"))
+        rows = Engine(Pattern(structure, AndCondition(same_k), timedelta(seconds=9))).run(frame(spark, events)).collect()
+        types = {e.name: e.type for e in events_of(structure)}
+        matches = [{n: r[f"{n}__seq"] for n in types} for r in rows]
+        got = Engine(Pattern(structure, AndCondition(same_k), timedelta(seconds=9), Policy(freeze=freeze))).run(frame(spark, events)).collect()
+        want = plain_freeze(matches, events, types, frozen, 9 * S)
+        assert sorted(tuple(r[f"{n}__seq"] for n in types) for r in got) == sorted(tuple(m.values()) for m in want)
+        kept += 0 < len(want) < len(matches)
+    assert kept
+
+
+def test_freezing_sends_only_what_can_change_it_through_one_partition(spark, monkeypatch):
+    # Two of type A and 200 of type B, all of which match: 402 matches and other events would have to be sorted by one task.
+    events = [{"seq": i, "event_type": t, "us": i * S, "k": 0, "x": 0} for i, t in enumerate("ABA" + "B" * 200)]
+    events, passed = frame(spark, events), []
+    own = type(events).mapInPandas
+    monkeypatch.setattr(type(events), "mapInPandas", lambda df, *a, **k: passed.append(df.count()) or own(df, *a, **k))
+    rows = Engine(Pattern(Seq(A, B), window=timedelta(hours=1), policy=Policy(freeze="a"))).run(events).collect()
+    assert len(rows) == 401 and passed == [4]
+
+
 def test_probability(spark):
     rows = [(0, "A", 0, 0.9), (1, "C", S, 0.5), (2, "B", 2 * S, 0.8), (3, "A", 3 * S, 0.2), (4, "B", 4 * S, None)]
     events = spark.createDataFrame(rows, "seq long, event_type string, us long, prob double")
